@@ -12,8 +12,11 @@ it, and what the split into groups can cost is less than one bin a group.
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +53,8 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
+        # A task has one core; the library's own threads would only spin.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,15 +67,21 @@ class WordIds(dict):
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+                self[w] = array("I", e.ids).tobytes()
         return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, kept between its tasks."""
+    return WordIds(path)
+
+
 def token_pieces(docs: DataFrame, path: str, cap: int = 2048, end_id: int = 0) -> DataFrame:
     """A row per piece of each document's ids and the closing id: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
