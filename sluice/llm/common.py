@@ -39,13 +39,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def same(*names: str):
-    """Null-safe equality of columns that two aliased frames, l and r, share."""
-    out = None
-    for n in names:
-        x = F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}"))
-        out = x if out is None else out & x
-    return out
+#: Rows of short terms or keys that may be broadcast.
+BROADCAST = 200_000
+
+
+def sized(df: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """df, marked for broadcast only if it is counted to be small; else its joins shuffle. df must be cheap to count (a stored table)."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def settled(df: DataFrame) -> DataFrame:

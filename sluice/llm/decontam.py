@@ -9,7 +9,7 @@
 4. Candidates are checked word for word in the documents that have any.
 
 Only DataFrame functions are used. The side that is small by nature (terms,
-anchors) is broadcast only after its rows are counted; beyond ``BROADCAST`` rows
+anchors) is broadcast only after its rows are counted; beyond ``sized``'s bound
 the same joins shuffle.
 """
 
@@ -18,10 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sized, stored
 
-#: Rows of short terms or keys that may be broadcast.
-BROADCAST = 200_000
 _BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,11 +34,6 @@ def lowered(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, _UPPER, _LOWER))
 
 
-def sized(df: DataFrame, most: int = BROADCAST) -> DataFrame:
-    """df, marked for broadcast only if it is counted to be small; df must be cheap to count (a stored table)."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """term, doc_id, th (the text's hash: tells rows apart that share a doc_id), pos (from 0); of all terms or those in ``terms`` (term)."""
     own = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(raw_words(F.col("text"))).alias("pos", "word"))

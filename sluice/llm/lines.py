@@ -146,8 +146,8 @@ def digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def dedup_lines(docs: DataFrame, least: int = 20, copies: int = 3, log_bits: int = LOG_BITS) -> DataFrame:
-    """doc_id, n_lines, n_dropped, text (the lines that stay, joined), for every row of docs.
+def dedup_lines(docs: DataFrame, least: int = 20, copies: int = 3, log_bits: int = LOG_BITS, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_dropped, text (the lines that stay, joined) and the columns ``also``, for every row of docs.
 
     Null and empty texts are one empty line. Rows that share a doc_id count as
     one holder each and are treated alike; among documents with a null doc_id
@@ -172,9 +172,10 @@ def dedup_lines(docs: DataFrame, least: int = 20, copies: int = 3, log_bits: int
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(stay))
                 texts.append(b"\n".join(stay).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_lines", "n_dropped", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.string()), *[b.column(3 + k) for k in range(len(also))]], names=["doc_id", "n_lines", "n_dropped", "text", *also])
 
-    own = docs.select(F.col("doc_id").cast("bigint"), "text")
+    own = docs.select(F.col("doc_id").cast("bigint"), "text", *also)
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for c in also for f in own.schema.fields if f.name == c)
     lost = stored(repeated_lines(docs, least, copies, log_bits), "line-lost")
-    both = own.alias("l").join(lost.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), "left").select("l.doc_id", "l.text", "r.keys")
-    return both.mapInArrow(drop, "doc_id bigint, n_lines bigint, n_dropped bigint, text string")
+    both = own.alias("l").join(lost.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), "left").select("l.doc_id", "l.text", "r.keys", *[f"l.{c}" for c in also])
+    return both.mapInArrow(drop, "doc_id bigint, n_lines bigint, n_dropped bigint, text string" + more)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sized, stored
 from .components import components
 
 #: Members of a bucket beyond which it is cut further.
@@ -230,3 +230,123 @@ def near_classes(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
     found = components(links(distinct.where("rep is not null"), radius))
     classes = stored(distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component")), "fingerprint-classes")
     return own.join(classes, "fp").select("doc_id", "fp", "component")
+
+
+# Groups of similar documents: word shingles and a similarity, where fingerprints alone are too coarse.
+
+#: Bands and values of each band: a pair of Jaccard similarity 0.8 shares one with probability 0.9998.
+BANDS, ROWS = 12, 3
+#: Differing bits up to which members of a bucket are compared exactly: 0.8 lies 3.5 deviations below.
+NEAR_BITS = 20
+_SIGNED = "doc_id bigint, th bigint, sig binary, fp bigint, bands array<bigint>"
+
+
+def _multipliers() -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(b"row %d" % i) | 1 for i in range(BANDS * ROWS)], np.uint64)
+
+
+def signature(hashes: np.ndarray) -> tuple[bytes, int, list[int]]:
+    """Of a text's shingle hashes: digest of their set, fingerprint of the set, band keys."""
+    own = np.unique(hashes)
+    fp = fingerprint(own)
+    if not len(own):
+        return b"", fp, []
+    with np.errstate(over="ignore"):
+        least = np.array([(own * m).min() for m in _multipliers()], np.uint64).reshape(BANDS, ROWS)
+    return xxhash.xxh3_128_digest(own.tobytes()), fp, [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(least)]
+
+
+def _nearest(radius: int, most: int):
+    """For each member of a bucket its ``most`` nearest members of smaller id within the radius: (a, b, d)."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in buckets(pdfs, ["band", "part"]):
+            if len(pdf) < 2:
+                continue
+            band, part = pdf["band"].to_numpy(), pdf["part"].to_numpy()
+            fp, rep = pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy()
+            cut = np.flatnonzero((band[1:] != band[:-1]) | (part[1:] != part[:-1])) + 1
+            out = []
+            for s, e in zip(np.append(0, cut), np.append(cut, len(pdf)), strict=True):
+                if e - s < 2:
+                    continue
+                for i, j, d in compare(fp[s:e], radius):
+                    ok = j < i  # members come sorted by id
+                    i, j, d = i[ok], j[ok], d[ok]
+                    order = np.lexsort((j, d, i))
+                    i, j, d = i[order], j[order], d[order]
+                    rank = np.arange(len(i)) - np.searchsorted(i, i)
+                    best = rank < most
+                    out.append((rep[s:e][i[best]], rep[s:e][j[best]], d[best]))
+            if out:
+                a, b, d = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pd.DataFrame({"a": a, "b": b, "d": d})
+
+    return run
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = NEAR_BITS, hot: int = 4 * HOT, most: int = 2) -> DataFrame:
+    """doc_id, th (xxhash64 of the text), component: documents of one group are linked by Jaccard similarity of word shingles.
+
+    Equal shingle sets are one member. Members that share a band are compared
+    bit-sliced; each is then held, shingle by shingle, against its ``most``
+    nearest members of smaller id, and linked at ``similarity`` or more. Buckets
+    of more than ``hot`` different sets are cut by the band that follows. Texts
+    without words are one group. A null doc_id never leads a group that has another.
+    """
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [signature(shingle_hashes(t.as_py(), size)) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.binary()), pa.array(np.array([g[1] for g in got], np.uint64).view(np.int64)), pa.array([g[2] for g in got], pa.list_(pa.int64()))], names=["doc_id", "th", "sig", "fp", "bands"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [np.unique((shingle_hashes(t.as_py(), size) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["rep", "set"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            b = b.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    own = stored(rows.mapInArrow(signed, _SIGNED), "signatures")
+    members = stored(own.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "members")
+    each = members.where("rep is not null").select("rep", "fp", "bands", F.posexplode("bands").alias("band", "part"))
+    counts = stored(each.groupBy("band", "part").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    plain = each.join(counts.where(F.col("n") <= hot), ["band", "part"]).select("band", "part", "rep", "fp")
+    after = F.get("bands", F.pmod(F.col("band") + 1, F.lit(BANDS)))
+    cut = each.join(counts.where(F.col("n") > hot), ["band", "part"]).select((F.col("band") + BANDS).alias("band"), F.xxhash64("part", after).alias("part"), "rep", "fp")
+    dealt = plain.unionAll(cut).repartition(F.col("band"), F.col("part")).sortWithinPartitions("band", "part", "rep")
+    near = dealt.mapInPandas(_nearest(radius, most), "a bigint, b bigint, d bigint")
+    near = near.groupBy("a", "b").agg(F.min("d").alias("d")).groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "b"))), 1, most).alias("x"))
+    pairs = stored(near.select("a", F.explode("x").alias("x")).select("a", "x.b"), "near-pairs")
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "near-ends")
+    chosen = own.join(ends, F.col("doc_id") == F.col("rep")).join(members.select("sig", F.col("rep").alias("of")), "sig").where("of = rep").select("rep", "th").distinct()
+    texts = rows.join(sized(stored(chosen, "near-texts")).alias("c"), (F.col("doc_id") == F.col("rep")) & (rows["th"] == F.col("c.th"))).dropDuplicates(["rep"]).select("rep", "text")
+    shingles = stored(texts.mapInArrow(sets, "rep bigint, set binary"), "near-sets")
+    both = pairs.join(shingles.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(shingles.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
+    links = stored(both.select("a", "b", "x", "y").mapInArrow(verified, "a bigint, b bigint"), "near-links")
+    found = components(links)
+    classes = stored(members.join(found, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("component")), "near-classes")
+    return own.join(classes, "sig").select("doc_id", "th", "component")
+
+
+def without_copies(docs: DataFrame, **options) -> DataFrame:
+    """docs with one document of each group of similar_groups: that of smallest doc_id; of equal rows one. All columns stay."""
+    groups = similar_groups(docs, **options)
+    gone = stored(groups.where(~F.col("doc_id").eqNullSafe(F.col("component"))).select("doc_id", "th").distinct(), "copies")
+    left = docs.withColumn("_th", F.xxhash64("text")).alias("l").join(sized(gone).alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l._th") == F.col("r.th")), "left_anti")
+    # Rows left with an id twice: equal rows, or other texts under the same id, which are no copies.
+    twice = stored(left.groupBy("doc_id", "_th").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "_th"), "rows-twice")
+    if twice.isEmpty():
+        return left.drop("_th")
+    same = F.col("l.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("l._th") == F.col("t._th"))
+    more = left.alias("l").join(sized(twice).alias("t"), same, "left_semi").dropDuplicates(["doc_id", "_th"])
+    return left.alias("l").join(sized(twice).alias("t"), same, "left_anti").unionByName(more).drop("_th")

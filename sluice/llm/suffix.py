@@ -33,8 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .decontam import sized
+from .common import sized, stored
 
 #: Suffixes of a sorted run, and of a merging partition, about.
 RUN = 50_000
