@@ -81,13 +81,10 @@ def glob(pattern: str) -> str:
 
 
 def entropy(content: Column) -> Column:
-    """Shannon entropy of the bytes in bits; 0 for none. Counts come from one pass over the hex pairs."""
-    text = F.hex(content)
-    n = F.octet_length(content)
-    pairs = F.regexp_extract_all(text, F.lit("(..)"), 1)
-    counts = F.transform(F.array_distinct(pairs), lambda p: F.size(pairs) - F.size(F.array_remove(pairs, p)))
-    total = F.aggregate(counts, F.lit(0.0), lambda a, c: a - (c / n) * F.log2(c / n))
-    return F.when(n > 0, total).otherwise(0.0)
+    """Shannon entropy of the bytes in bits; 0 for none. Bytes are counted as characters of a one-byte encoding."""
+    chars, n = F.decode(content, "ISO-8859-1"), F.octet_length(content)
+    share = F.transform(F.array_remove(F.array_distinct(F.split(chars, "")), ""), lambda c: (n - F.length(F.replace(chars, c, F.lit("")))) / n)
+    return F.when(n > 0, F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
 
 
 def entropy_class(bits: Column, high: Column | None = None) -> Column:

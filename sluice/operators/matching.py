@@ -91,11 +91,11 @@ def shingles(text: str, k: int = 3) -> set[str]:
 
 def _affine(h: np.ndarray, a: int, b: int) -> np.ndarray:
     """(a*h + b) modulo 2**61 - 1 for 32-bit h, in 64-bit words: a is split so that no product overflows."""
-    p, low = np.uint64(PRIME), np.uint64((1 << 29) - 1)
+    p = np.uint64(PRIME)
     hi, lo = np.uint64(a >> 29), np.uint64(a & ((1 << 29) - 1))
     top = hi * h % p  # below 2**61; times 2**29 as a rotation of 61 bits
     top = ((top << np.uint64(29)) & p) + (top >> np.uint64(32))
-    return (top + lo * h % p + np.uint64(b)) % p if low else top
+    return (top + lo * h % p + np.uint64(b)) % p
 
 
 def minhash(text: str, n: int = 128, k: int = 3, seed: int = 42) -> np.ndarray:
@@ -134,17 +134,27 @@ def similar(queries: DataFrame, registered: DataFrame, threshold: float = 0.8, b
 
 
 def windows(df: DataFrame, size: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, pos, win: every window of the normalised text; shorter texts have none."""
-    t = df.select(key, fragment_text(F.col(text)).alias("_t"))
-    t = t.where(F.length("_t") >= size).select(key, "_t", F.explode(F.sequence(F.lit(0), F.length("_t") - size)).alias("pos"))
-    return t.select(key, "pos", F.substring("_t", F.col("pos") + 1, F.lit(size)).alias("win"))
+    """key, pos, win (16-byte digest): every window of the normalised text; shorter texts have none."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, t in zip(b.column(0), b.column(1), strict=True):
+                wide = (t.as_py() or "").encode("utf-32-le", "surrogatepass")
+                last = len(wide) // 4 - size
+                for at in range(0, last + 1, 50_000):
+                    places = range(at, min(at + 50_000, last + 1))
+                    win = [hashlib.blake2b(wide[4 * p : 4 * (p + size)], digest_size=16).digest() for p in places]
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(win), b.column(0).type), pa.array(places, pa.int32()), pa.array(win, pa.binary())], names=[key, "pos", "win"])
+
+    return df.select(key, fragment_text(F.col(text)).alias(text)).mapInArrow(run, f"`{key}` {kind}, pos int, win binary")
 
 
 def fragments(scanned: DataFrame, registered: DataFrame, size: int = 50, min_consecutive: int = 1) -> DataFrame:
     """scan_id, doc_id, doc_position, scan_position (the first), n_consecutive: windows that a registered text shares.
 
-    Both sides: key and windows' text. Joined on a hash and the window; islands
-    of consecutive places must be ``min_consecutive`` long.
+    Both sides: doc_id, text. Joined on a window's digest; islands of consecutive
+    places must be ``min_consecutive`` long.
     """
     a = windows(scanned, size).select(F.col("doc_id").alias("scan_id"), F.col("pos").alias("scan_position"), "win")
     b = windows(registered, size).select("doc_id", F.col("pos").alias("doc_position"), "win")

@@ -129,7 +129,8 @@ def with_findings(df: DataFrame, catalog: Catalog | None = None, text: str = "te
     """df with ``findings`` (in catalogue order, overlaps included) and ``status``: ok, empty or too_large."""
     chosen = (catalog or Catalog.core()).only(categories)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", status string, findings array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>"
-    at = df.columns.index(text)
+    columns = list(df.columns)
+    at = columns.index(text)
     names = [x.split()[0] for x in FINDING.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +142,7 @@ def with_findings(df: DataFrame, catalog: Catalog | None = None, text: str = "te
                 status.append("empty" if not t else "too_large" if len(t) > MAX_CHARS else "ok")
                 found.append([dict(zip(names, x, strict=True)) for x in m.find(t, require_context, max_matches)] if status[-1] == "ok" else [])
             kind = pa.list_(pa.struct([(n, k) for n, k in zip(names, [pa.string()] * 3 + [pa.int32()] * 2 + [pa.bool_()] * 2 + [pa.float64(), pa.int32()], strict=True)]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(status), pa.array(found, kind)], names=[*df.columns, "status", "findings"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(status), pa.array(found, kind)], names=[*columns, "status", "findings"])
 
     return df.mapInArrow(run, schema)
 

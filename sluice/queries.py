@@ -1,10 +1,230 @@
-"""Registered queries of the engine, and their SQL."""
+"""Registered queries of the engine, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sluice.catalog import CARDS, CONTACT, Catalog
+from sluice.functions import text as fn
+from sluice.operators import matching, report, sketches
+from sluice.operators.findings import beyond_baseline, confident
+from sluice.operators.guard import Guard, detokenized
+from sluice.operators.policy import Policy, session_alerts
+from sluice.operators.scan import scan
+from sluice.sources.readers import unordered_text_columns
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+CONTACTS = {"Contact Information"}
+CREDIT = {"Credit Card Numbers"}
+SALT, SECRET = b"register-salt", b"vault-secret"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_findings(spark, sf_dir)
+
+
+def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_docs(spark, sf_dir)).drop("ord")
+
+
+def scan_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
+    return scan(rows).drop("ord")
+
+
+def contact_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(_docs(spark, sf_dir), categories=CONTACTS, deduplicate=False)
+    return found.groupBy("doc_id", "sub_category").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("matched")), ";").alias("matches"))
+
+
+def card_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(_docs(spark, sf_dir), categories=CREDIT, deduplicate=False)
+    return found.groupBy("doc_id", "sub_category").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("matched")), ";").alias("matches"))
+
+
+def compliance_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.compliance(scan(_docs(spark, sf_dir), categories=CONTACTS | CREDIT, deduplicate=False))
+
+
+def compliance_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.by_category(scan(_docs(spark, sf_dir)))
+
+
+def severity_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.severities(scan(_docs(spark, sf_dir)))
+
+
+def confident_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(_docs(spark, sf_dir), categories=CONTACTS, deduplicate=False)
+    return confident(found, 0.85).groupBy("sub_category").agg(F.count("*").alias("n"))
+
+
+def new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contact findings of documents whose kind is not known from even documents' sources."""
+    docs = _table(spark, sf_dir, "documents")
+    found = scan(docs, categories=CONTACTS, deduplicate=False).join(docs.select("doc_id", F.col("source").alias("filename")), "doc_id")
+    known = found.where("doc_id % 2 = 0").select("filename", "category", "sub_category")
+    return beyond_baseline(found, known).groupBy("filename", "sub_category").agg(F.count("*").alias("n"))
+
+
+def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    guard = Guard(Catalog.core().only(CONTACTS), "flag")
+    return report.batch_summary(guard.apply(_docs(spark, sf_dir))).select("total_items", "clean_items", "flagged_items")
+
+
+def items_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    guard = Guard(Catalog.core().only(CONTACTS | CREDIT), "flag")
+    return report.items_by_category(guard.apply(_docs(spark, sf_dir)))
+
+
+def guard_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Guard().apply(_docs(spark, sf_dir)).select("doc_id", "is_clean", "finding_count", F.sha2("result", 256).alias("result_sha256"))
+
+
+def guard_obfuscate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    guard = Guard(Catalog.core().only(CONTACTS | CREDIT), "obfuscate", seed=42)
+    return guard.apply(_docs(spark, sf_dir)).select("doc_id", "finding_count", F.sha2("result", 256).alias("result_sha256"))
+
+
+def guard_tokenize_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokenized documents put back by the vault: the texts themselves."""
+    guard = Guard(Catalog.core().only(CONTACTS), "tokenize", secret=SECRET)
+    out = guard.apply(_docs(spark, sf_dir))
+    back = detokenized(out.select("doc_id", F.col("result").alias("text")), guard.vault(out))
+    return back.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+def policy_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = Policy.parse({"name": "mail", "rules": [{"categories": "Contact Information", "sub_categories": "Email Address", "action": "redact", "min_confidence": 0.9}, {"categories": "Credit Card Numbers", "action": "reject"}]})
+    found = scan(_docs(spark, sf_dir), categories=CONTACTS | CREDIT, deduplicate=False)
+    return policy.apply(found).groupBy("action").agg(F.count("*").alias("n"))
+
+
+def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.sarif(scan(_docs(spark, sf_dir)))
+
+
+def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.csv_rows(_docs(spark, sf_dir).select("doc_id"), scan(_docs(spark, sf_dir)))
+
+
+def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = fn.unleet(fn.plain_spaces(fn.strip_invisible(F.col("text"))))
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(t, 256).alias("text_sha256"))
+
+
+def shown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select("c_custkey", fn.shown(F.col("c_name")).alias("shown"), fn.truncated(F.col("c_mktsegment"), 4).alias("short"))
+
+
+def luhn_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select("o_orderkey", fn.luhn(F.col("o_orderkey").cast("string")).alias("valid"))
+
+
+def row_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unordered_text_columns(_table(spark, sf_dir, "customer"), F.concat(F.lit("db:row:"), F.col("c_custkey").cast("string")), ["c_name", "c_mktsegment"])
+
+
+def text_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring(F.col("text").cast("binary"), 1, 8192).alias("b"))
+    bits = fn.entropy(F.col("b"))
+    return t.select("conv_id", "turn", F.round(bits, 6).alias("bits"), fn.entropy_class(bits).alias("kind"))
+
+
+def edm_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that name a registered contact value."""
+    known = scan(_docs(spark, sf_dir), categories=CONTACTS, deduplicate=False).where("sub_category = 'Email Address'").select(F.lit("mail").alias("category"), F.col("matched").alias("value"))
+    return matching.edm_scan(_docs(spark, sf_dir), matching.edm_register(known, SALT), SALT, tokenizers=("numeric", "email"))
+
+
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth document against all."""
+    own = matching.with_signature(_docs(spark, sf_dir))
+    return matching.similar(own.where("doc_id % 50 = 0"), own)
+
+
+def benchmark_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    found = matching.fragments(_docs(spark, sf_dir), items)
+    return found.groupBy("scan_id", "doc_id").agg(F.count("*").alias("n"), F.min("scan_position").alias("first_scan"), F.max("n_consecutive").alias("longest"))
+
+
+def count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"))
+    return sketches.cms_estimate(keys, sketches.cms_cells(keys))
+
+
+def distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events")
+    return sketches.hll_count(sketches.hll_registers(events, "user_id", ("event_type",)), ("event_type",))
+
+
+def exposure_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select("ts", "user_id", F.col("event_type").alias("category"), F.col("props").alias("matched"))
+    kinds = [r[0] for r in events.select("category").distinct().orderBy("category").limit(3).collect()]
+    found = session_alerts(events, [(k, 1, 2, "*") for k in kinds], "1 day")
+    return found.select("window_start", "user_id", "category", "alert_type", "count", "limit")
+
+
+QUERIES = {f.__name__: f for f in (scan_findings, scan_conversations, contact_matches, card_matches, compliance_frameworks, compliance_by_category, severity_breakdown, confident_findings, new_findings, batch_report, items_by_category, guard_redact, guard_obfuscate, guard_tokenize_round_trip, policy_actions, sarif_results, csv_report, normalized_text, shown_values, luhn_keys, row_texts, text_entropy, edm_hits, similar_documents, benchmark_fragments, count_min, distinct_users, exposure_alerts)}
+
+
+def _q(regex: str) -> str:
+    """A Python expression in RE2's spelling within SQL quotes."""
+    for c in ("2013", "2014", "00a0"):
+        regex = regex.replace(f"\\u{c}", f"\\x{{{c}}}")
+    return regex.replace("'", "''")
+
+
+def _all(table: dict, tail: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, '{n}' AS sub_category, unnest(regexp_extract_all(text, '{_q(r)}')) AS m FROM documents" for c, ps in table.items() for n, r in ps.items())
+
+
+_CONTACT = _all(CONTACT)
+_CARDS = _all({"Credit Card Numbers": CARDS["Credit Card Numbers"]})
+_DIGITS = "list_transform(string_split(reverse(regexp_replace(m, '[^0-9]', '', 'g')), ''), lambda x: CAST(x AS INT))"
+_LUHN = f"(list_sum(list_transform({_DIGITS}, lambda d, i: CASE WHEN i % 2 = 1 THEN d WHEN d > 4 THEN 2 * d - 9 ELSE 2 * d END)) % 10 = 0)"
+_FOUND = f"c AS ({_CONTACT}), k AS (SELECT * FROM ({_CARDS}) WHERE {_LUHN}), f AS (SELECT * FROM c UNION ALL SELECT * FROM k)"
+
+ORACLES: dict[str, str] = {
+    "contact_matches": f"WITH c AS ({_CONTACT}) SELECT doc_id, sub_category, count(*) AS n, string_agg(m, ';' ORDER BY m) AS matches FROM c GROUP BY ALL",
+    "card_matches": f"WITH {_FOUND} SELECT doc_id, sub_category, count(*) AS n, string_agg(m, ';' ORDER BY m) AS matches FROM k GROUP BY ALL",
+    "compliance_frameworks": f"WITH {_FOUND} SELECT 'PCI-DSS' AS framework, NOT EXISTS (FROM k) AS passed UNION ALL SELECT 'GDPR', NOT EXISTS (FROM c) UNION ALL SELECT 'HIPAA', true UNION ALL SELECT 'SOC2', true",
+    "new_findings": f"WITH c AS (SELECT f.*, source AS filename FROM ({_CONTACT}) f JOIN documents d ON d.doc_id = f.doc_id) SELECT filename, sub_category, count(*) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.doc_id % 2 = 0 AND b.filename = c.filename AND b.sub_category = c.sub_category) GROUP BY ALL",
+    "batch_report": f"WITH c AS ({_CONTACT}) SELECT count(*) AS total_items, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM c)) AS clean_items, count(*) FILTER (doc_id IN (SELECT doc_id FROM c)) AS flagged_items FROM documents",
+    "guard_tokenize_round_trip": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents",
+    "policy_actions": f"WITH {_FOUND} SELECT CASE WHEN sub_category = 'Email Address' THEN 'redact' WHEN category = 'Credit Card Numbers' THEN 'reject' ELSE 'flag' END AS action, count(*) AS n FROM f GROUP BY ALL",
+    "normalized_text": "SELECT doc_id, sha256(translate(regexp_replace(text, '[\\x{ad}\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{feff}]', '', 'g'), '@$!|+0134578({692', 'asiltoleastbccggz')) AS text_sha256 FROM documents",
+    "shown_values": "SELECT c_custkey, CASE WHEN length(c_name) > 8 THEN left(c_name, 3) || '...' || right(c_name, 3) ELSE '***' END AS shown, CASE WHEN length(c_mktsegment) > 4 THEN left(c_mktsegment, 4) || '...' ELSE c_mktsegment END AS short FROM customer",
+    "luhn_keys": f"SELECT o_orderkey, {_LUHN.replace('(m,', '(CAST(o_orderkey AS VARCHAR),')} AS valid FROM orders",
+    "row_texts": "SELECT 'db:row:' || c_custkey AS doc_id, concat_ws(' ', nullif(c_name, ''), nullif(c_mktsegment, '')) AS text FROM customer",
+    "text_entropy": """
+WITH b AS (SELECT conv_id, turn, unnest(regexp_extract_all(substr(hex(encode(text)), 1, 16384), '..')) AS p FROM conversations),
+c AS (SELECT conv_id, turn, p, count(*) AS n FROM b GROUP BY ALL),
+e AS (SELECT conv_id, turn, -sum(n / t * log2(n / t)) AS bits FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY conv_id, turn) AS DOUBLE) AS t FROM c) GROUP BY ALL)
+SELECT conv_id, turn, round(coalesce(bits, 0), 6) AS bits, CASE WHEN bits >= 7.9 THEN 'likely_encrypted' WHEN bits >= 7.5 THEN 'compressed_or_encrypted' WHEN bits >= 6 THEN 'moderately_random' ELSE 'normal' END AS kind
+FROM conversations LEFT JOIN e USING (conv_id, turn)""",
+    "benchmark_fragments": r"""
+WITH a AS (SELECT doc_id AS scan_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents),
+b AS (SELECT item_id AS doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM benchmark),
+x AS (SELECT scan_id, p AS scan_position, substr(t, p + 1, 50) AS win FROM (SELECT *, unnest(range(0, length(t) - 49)) AS p FROM a)),
+y AS (SELECT doc_id, p AS doc_position, substr(t, p + 1, 50) AS win FROM (SELECT *, unnest(range(0, length(t) - 49)) AS p FROM b)),
+h AS (SELECT scan_id, doc_id, doc_position, min(scan_position) AS scan_position FROM x JOIN y USING (win) GROUP BY ALL),
+i AS (SELECT *, doc_position - row_number() OVER (PARTITION BY scan_id, doc_id ORDER BY doc_position) AS d FROM h),
+n AS (SELECT *, count(*) OVER (PARTITION BY scan_id, doc_id, d) AS k FROM i)
+SELECT scan_id, doc_id, count(*) AS n, CAST(min(scan_position) AS INT) AS first_scan, max(k) AS longest FROM n GROUP BY scan_id, doc_id""",
+    "exposure_alerts": """
+WITH k AS (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 3),
+t AS (SELECT date_trunc('day', ts) AS window_start, user_id, event_type AS category, count(*) AS n FROM events GROUP BY ALL),
+u AS (SELECT date_trunc('day', ts) AS window_start, user_id, count(DISTINCT event_type || ':' || props) AS n FROM events GROUP BY ALL)
+SELECT window_start, user_id, category, 'total' AS alert_type, n AS count, 1 AS "limit" FROM t WHERE category IN (FROM k) AND n > 1
+UNION ALL SELECT t.window_start, t.user_id, category, 'unique', u.n, 2 FROM t JOIN u USING (window_start, user_id) WHERE category IN (FROM k) AND u.n > 2""",
+}
