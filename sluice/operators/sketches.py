@@ -41,7 +41,7 @@ def hll_registers(values: DataFrame, value: str, by: tuple[str, ...] = (), p: in
     bits = F.lpad(F.concat(F.lpad(F.bin(F.conv(F.substring(turned, 1, 8), 16, 10).cast("bigint")), 32, "0"), F.lpad(F.bin(F.conv(F.substring(turned, 9, 8), 16, 10).cast("bigint")), 32, "0")), 64, "0")
     idx = F.conv(F.substring(bits, 64 - p + 1, p), 2, 10).cast("int")
     rest = F.substring(bits, 1, 64 - p)
-    rho = F.length(rest) - F.length(F.ltrim(F.lit("0"), rest)) + 1
+    rho = F.length(rest) - F.length(F.ltrim(rest, F.lit("0"))) + 1
     return values.where(F.col(value).isNotNull()).select(*by, idx.alias("idx"), rho.alias("rho")).groupBy(*by, "idx").agg(F.max("rho").alias("rho"))
 
 

@@ -1,0 +1,263 @@
+import hashlib
+import hmac
+import io
+import json
+import random
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from sluice import queries
+from sluice.catalog import Catalog, Pattern
+from sluice.functions import text as fn
+from sluice.operators import findings, guard, matching, policy, report, scan, sketches
+from sluice.plans.config import Config
+from sluice.sources import readers
+
+
+def frame(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+
+def found(text, **options):
+    return [(x[1], x[2], x[3], x[4], x[5], x[7]) for x in scan.Matcher(Catalog.core()).find(text, **options)]
+
+
+def test_context_and_confidence():
+    assert ("Visa", "4539148803436467", 5, 21, False, 0.9) in found("call 4539148803436467")
+    assert ("Visa", "4539148803436467", 5, 21, True, 1.0) in found("visa 4539148803436467")
+    assert not [x for x in found("visa 4539148803436468") if x[0] == "Visa"]  # Luhn
+    assert not [x for x in found("room 12345") if x[0] == "Check Number"]  # needs context
+    assert ("E.164 Phone Number", "+4930123456", 6, 17, True, 0.6) in found("phone +4930123456")
+
+
+def test_fuzzy_and_leet_context():
+    assert [x[4] for x in found("telephne +4930123456") if x[0].startswith("E.164")] == [True]
+    assert [x[4] for x in found("5lack xoxb-123-abc") if x[0] == "Slack Bot Token"] == [True]
+    assert [x[4] for x in found("nothing here at all +4930123456") if x[0].startswith("E.164")] == [False]
+
+
+def test_evasion_is_undone():
+    t = "mail jo​hn@exаmple.com"
+    assert ("Email Address", "jo​hn@exаmple.com", 5, 22) in [x[:4] for x in found(t)]
+    assert scan.normalized("plain") == ("plain", None)
+
+
+def test_levenshtein():
+    r = random.Random(1)
+
+    def slow(a, b):
+        d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        return d[-1][-1]
+
+    for _ in range(500):
+        a, b = ("".join(r.choice("ab") for _ in range(r.randint(0, 7))) for _ in range(2))
+        assert scan.within(a, b, 2) == (slow(a, b) <= 2)
+
+
+def test_overlap_fold(spark):
+    r = random.Random(4)
+
+    def plain(rows):
+        out = []
+        for x in sorted(rows, key=lambda x: (x[0], x[0] - x[1], x[3])):
+            if not out or x[0] >= out[-1][1]:
+                out.append(x)
+            elif x[2] > out[-1][2] or x[2] == out[-1][2] and x[1] - x[0] > out[-1][1] - out[-1][0]:
+                out[-1] = x
+        return out
+
+    cases = [[(s := r.randint(0, 20), s + r.randint(1, 8), r.choice([0.4, 0.6]), i) for i in range(r.randint(0, 8))] for _ in range(60)]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "id int, f array<struct<span_start:int,span_end:int,confidence:double,ord:int>>")
+    for i, got in df.select("id", findings.without_overlaps("f")).collect():
+        assert [tuple(x) for x in got] == plain(cases[i])
+
+
+def test_scan_statuses_and_options(spark):
+    df = scan.with_findings(frame(spark, None, "", "mail a@b.com", "clean"))
+    assert [(r["status"], len(r["findings"])) for r in df.orderBy("doc_id").collect()] == [("empty", 0), ("empty", 0), ("ok", 1), ("ok", 0)]
+    assert scan.scan(frame(spark, "mail a@b.com"), categories=set()).count() == 0
+    assert scan.scan(frame(spark, "x a@b.com"), require_context=True).count() == 0
+    assert scan.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_catalog():
+    c = Catalog.core()
+    mine = c.with_patterns("Own", {"Badge": r"\bB-\d{3}\b"}, {"Badge": ["badge"]}, {"Badge": 0.7})
+    assert scan.Matcher(mine.only({"Own"})).find("badge B-123")[0][7] == 0.9
+    assert mine.without("Own") == c and Catalog.load(c.dump()) == c
+    assert Catalog.load(json.dumps([{"category": "X", "name": "Y", "regex": "z"}])).patterns == (Pattern("X", "Y", "z"),)
+    with pytest.raises(Exception):
+        c.with_patterns("Bad", {"x": "("})
+
+
+def test_guard_actions(spark):
+    df = frame(spark, "mail john@corp.com now", "clean", None)
+    one = lambda **k: {r["doc_id"]: r for r in guard.Guard(**k).apply(df).collect()}
+    r = one(action="redact")
+    assert r[0]["result"] == "mail XXXXXXXXX.XXX now"
+    assert not r[0]["is_clean"] and r[1]["is_clean"] and r[2]["is_clean"] and r[2]["result"] is None and len(r[0]["result"]) == 22
+    assert one(action="reject")[0]["rejected"] and not one(action="flag")[0]["rejected"]
+    assert one(allow_texts=("*@corp.com",))[0]["is_clean"] and one(min_confidence=1.1)[0]["is_clean"] and one(allow_categories=("Contact Information",))[0]["is_clean"]
+    g = guard.Guard(action="tokenize", secret=b"k")
+    out = g.apply(df)
+    tok = "TOK_CONTACT_" + hmac.new(b"k", b"Contact Information:john@corp.com", hashlib.sha256).hexdigest()[:8]
+    assert {r["doc_id"]: r["result"] for r in out.collect()}[0] == f"mail {tok} now"
+    back = guard.detokenized(out.select("doc_id", F.col("result").alias("text")), g.vault(out))
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {0: "mail john@corp.com now", 1: "clean", 2: None}
+    a, b = one(action="obfuscate", seed=1), one(action="obfuscate", seed=1)
+    assert a[0]["result"] == b[0]["result"] != "mail john@corp.com now" and a[1]["result"] == "clean"
+    with pytest.raises(ValueError):
+        guard.Guard(action="tokenize")
+
+
+def test_fakes_keep_their_form():
+    r = random.Random(0)
+    card = guard.fake("Credit Card Numbers", "Visa", "4539-1488-0343-6467", r)
+    assert scan.luhn_valid(card) and card[:4] == "4539" and [c for c in card if not c.isdigit()] == ["-"] * 3
+    assert guard.fake("Banking and Financial", "IBAN Generic", "DE12 AB", r)[:2] == "DE"
+    assert guard.permitted("viewer", "detokenize") is False and guard.permitted("operator", "detokenize")
+
+
+def test_abbreviations(spark):
+    df = spark.createDataFrame([("Dates",), ("North America - United States",), ("Own Thing",)], "c string")
+    assert [r[0] for r in df.select(guard.abbreviation(F.col("c"))).collect()] == ["DATE", "NA_US", "OT"]
+
+
+def test_text_functions(spark):
+    row = frame(spark, "a​b c 4111-1111").select(fn.strip_invisible(F.col("text")), fn.plain_spaces(F.col("text")), fn.unleet(F.lit("p@$$w0rd")), fn.luhn(F.lit("4539 1488 0343 6467")), fn.luhn(F.lit("")), fn.edm_value(F.lit(" A-b (C) ")), fn.hmac_sha256(b"k" * 70, F.lit("m")), fn.entropy(F.lit(b"AABB")), fn.entropy(F.lit(b"")), fn.shown(F.lit("short"))).first()
+    assert row[0] == "ab c 4111-1111" and row[1] == "a​b c 4111-1111" and row[2:6] == ("password", True, False, "abc")
+    assert row[6] == hmac.new(b"k" * 70, b"m", hashlib.sha256).hexdigest() and row[7] == 1.0 and row[8] == 0.0 and row[9] == "***"
+
+
+def test_edm(spark):
+    salt = b"s"
+    known = spark.createDataFrame([("name", "Jane Doe"), ("mail", "A@B.com"), ("ssn", "123-45-6789"), ("none", " - ")], "category string, value string")
+    register = matching.edm_register(known, salt)
+    assert register.count() == 3
+    got = matching.edm_scan(frame(spark, "I am jane  doe, a@b.com, 123 45 6789", None), register, salt).collect()
+    assert {(r["category"], r["matched_text"], r["span_start"]) for r in got} >= {("mail", "a@b.com", 16), ("ssn", "123 45 6789", 25)}
+    assert matching.edm_scan(frame(spark, "a@b.com"), register, salt, categories={"name"}).count() == 0
+
+
+def test_minhash():
+    a, b = matching.hash_family(8)
+    h = 4_000_000_001
+    import numpy as np
+
+    for x, y in zip(a, b, strict=True):
+        assert int(matching._affine(np.array([h], np.uint64), int(x), int(y))[0]) == (int(x) * h + int(y)) % matching.PRIME
+    assert matching.shingles("A b C d") == {"a b c", "b c d"} and matching.shingles("Ab") == {"Ab"}
+
+
+def test_similar_and_fragments(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    df = frame(spark, base, base.replace("word30", "other"), "something else entirely " * 5, "")
+    sig = matching.with_signature(df)
+    got = {(r["query_id"], r["doc_id"]) for r in matching.similar(sig, sig).collect()}
+    assert {(0, 1), (1, 0), (0, 0), (2, 2)} <= got and (0, 2) not in got
+    hits = matching.fragments(frame(spark, "xx " + base[100:200] + " yy", "short"), frame(spark, base))
+    rows = hits.collect()
+    assert len(rows) == 51 and {r["n_consecutive"] for r in rows} == {51} and min(r["scan_position"] for r in rows) == 3
+    assert matching.fragments(frame(spark, base[:49]), frame(spark, base)).count() == 0
+
+
+def test_sketches(spark):
+    keys = spark.createDataFrame([(f"k{i % 50}",) for i in range(500)] + [(None,)], "key string")
+    cells = sketches.cms_cells(keys, width=200, depth=3)
+    assert all(r["estimate"] >= 10 for r in sketches.cms_estimate(keys.where("key is not null"), cells, width=200, depth=3).collect())
+    i = int.from_bytes(hashlib.md5(b"k1" + (0).to_bytes(4, "little")).digest()[:4], "little") % 200
+    assert cells.where(f"row = 0 and idx = {i}").count() == 1
+    n = sketches.hll_count(sketches.hll_registers(spark.range(5000).select(F.col("id").cast("string").alias("v")), "v", p=10), p=10).first()["estimate"]
+    assert abs(n - 5000) < 5000 * 4 * sketches.hll_error(10)
+    assert sketches.contains(keys, keys.where("key = 'k1'"), "key").where("found").count() == 10
+
+
+def test_reports(spark):
+    rows = scan.scan(frame(spark, "mail a@b.com", "visa 4539148803436467", "clean"))
+    assert {r["framework"]: r["passed"] for r in report.compliance(rows).collect()} == {"PCI-DSS": False, "HIPAA": True, "SOC2": True, "GDPR": False}
+    assert report.csv_rows(frame(spark, "a", "b", "c").select("doc_id"), rows).count() == 3
+    r = json.loads(report.sarif(rows).where("rule_id like '%Email%'").first()["result"])
+    assert r["level"] == "warning" and "a@b.com" not in json.dumps(r)
+    log = json.loads(report.sarif_log([json.dumps(r)], ["x"]))
+    assert log["version"] == "2.1.0" and len(log["runs"][0]["results"]) == 1
+
+
+def test_policy_and_allowlists(spark):
+    rows = scan.scan(frame(spark, "mail a@b.com", "card 4539148803436467"), deduplicate=False)
+    p = policy.Policy.parse({"rules": [{"categories": ["Contact Information"], "action": "allow"}]})
+    got = {r["category"]: r["action"] for r in p.apply(rows).collect()}
+    assert got["Contact Information"] == "allow" and got["Credit Card Numbers"] == "flag"
+    assert findings.not_allowed(rows, ["a@*"], ["Visa"]).where("sub_category in ('Email Address', 'Visa')").count() == 0
+    assert findings.outside_categories(rows, []).count() == rows.count()
+    lined = frame(spark, "a@b.com  scan:ignore\nc@d.com")
+    both = scan.scan(lined).join(lined, "doc_id")
+    assert [r["matched"] for r in findings.without_ignored_lines(both, "text").collect()] == ["c@d.com"]
+    with pytest.raises(ValueError):
+        policy.Rule(("x",), "explode")
+    assert "Amex" not in [p.name for p in policy.Ruleset(presets=("PCI_DSS",), disable=("Amex",)).catalog().patterns]
+
+
+def test_config():
+    c = Config.parse('{"presets": ["PCI_DSS"], "min_confidence": 0.5}').with_environment({"SLUICE_ACTION": "redact", "SLUICE_CATEGORIES": "Dates, Geolocation", "OTHER": "x"})
+    assert c.action == "redact" and c.categories == ("Dates", "Geolocation") and "Dates" in c.guard().catalog.categories()
+    with pytest.raises(ValueError):
+        Config().updated({"nope": 1})
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y\nmail a@b.com,\n"c, d",e\n')
+    assert [tuple(r) for r in readers.csv(spark, f"{tmp_path}/a.csv").select("text").collect()] == [("mail a@b.com",), ("c, d e",)]
+    (tmp_path / "b.json").write_text('{"a": "x", "n": 1}\nbroken\n{"a": "y", "b": "z"}')
+    assert [r["text"] for r in readers.json_records(spark, f"{tmp_path}/b.json").collect()] == ["x", "y z"]
+    with pytest.raises(ValueError):
+        readers.query(spark, "DROP TABLE x")
+    assert readers.query(spark, "SELECT 1 a, 'b' b").first()["text"] == "1 b"
+    diff = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,0 +2,2 @@\n+new one\n+new two\n@@ -9 +11 @@\n-old\n+newer".split("\n")
+    got = readers.added_lines(spark.createDataFrame(list(enumerate(diff)), "n bigint, value string")).orderBy("line").collect()
+    assert [tuple(r) for r in got] == [("x", 2, "new one"), ("x", 3, "new two"), ("x", 11, "newer")]
+    assert readers.payload_text({"a": ["x", {"b": "y"}], "n": 1}) == "x\ny"
+    with pytest.raises(ValueError):
+        readers.texts(spark, ["a"], ["1", "2"])
+
+
+def test_extraction(spark, tmp_path):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("in/n.txt", "secret text")
+        z.writestr("r.rtf", r"{\rtf1{\fonttbl{\f0 Arial;}}Hello\par W\'f6rld}")
+    (tmp_path / "p.zip").write_bytes(buffer.getvalue())
+    (tmp_path / "m.eml").write_bytes(b"From: a@b.com\nSubject: hi\n\nbody text\n")
+    (tmp_path / "x.pdf").write_bytes(b"%PDF-1.4")
+    (tmp_path / "bin.dat").write_bytes(b"a\0b")
+    rows = {r["item"]: r for r in readers.extracted(readers.files(spark, str(tmp_path))).collect()}
+    assert rows["n.txt"]["text"] == "secret text" and rows["n.txt"]["depth"] == 1 and rows["r.rtf"]["text"] == "Hello\nWörld"
+    assert "body text" in rows["m.eml"]["text"] and "Subject: hi" in rows["m.eml"]["text"] and "pdf" in rows["x.pdf"]["error"]
+    assert {r[0].rpartition("/")[2] for r in readers.files(spark, str(tmp_path)).where(readers.is_binary()).select("path").collect()} >= {"bin.dat"}
+
+
+def test_streams(spark, tmp_path):
+    from sluice.streaming import stateful
+
+    src = str(tmp_path / "in")
+    spark.createDataFrame([("s", 1, "mail jo"), ("s", 2, "hn@corp.com now"), ("s", 3, " and a@b.com.")], "stream_id string, seq bigint, chunk string").write.parquet(src)
+    stream = spark.readStream.schema("stream_id string, seq bigint, chunk string").parquet(src)
+    q = stateful.scan_chunks(stream, Catalog.core().only({"Contact Information"})).writeStream.format("memory").queryName("chunks").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r["matched"], r["span_start"], r["span_end"]) for r in spark.sql("select * from chunks").collect()}
+    assert {("john@corp.com", 5, 18), ("a@b.com", 27, 34)} <= got
+    req = str(tmp_path / "req")
+    spark.createDataFrame([("c", float(t), i) for i, t in enumerate([0, 1, 2, 3, 11, 12])], "client string, ts double, id bigint").write.parquet(req)
+    q = stateful.rate_limited(spark.readStream.schema("client string, ts double, id bigint").parquet(req), 2, 10).writeStream.format("memory").queryName("limits").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [r["accepted"] for r in spark.sql("select * from limits order by id").collect()] == [True, True, False, False, True, True]
+
+
+def test_every_query_has_a_name_and_known_oracles():
+    assert set(queries.ORACLES) <= set(queries.QUERIES)
