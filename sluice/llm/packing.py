@@ -12,6 +12,7 @@ it, and what the split into groups can cost is less than one bin a group.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import os
 import re
@@ -32,7 +33,9 @@ GROUP = 65_536
 #: Words whose ids a worker remembers.
 WORDS = 400_000
 #: Failing targets in a row after which the local search rests.
-PATIENCE = 16
+PATIENCE = 64
+#: Exchanges of a group's local search at most: it bounds time, never what is packed.
+STEPS = 4000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: White space beyond ASCII's usual: there Python's split and the tokenizer's may differ.
@@ -118,60 +121,79 @@ def best_fit(lengths: list[int], cap: int) -> list[list[int]]:
 
 
 def swap_search(bins: list[list[int]], lengths: list[int], cap: int) -> list[list[int]]:
-    """Local search over the underfull bins: move, one-for-one, two-for-one, each raising squared fill."""
+    """Local search over the underfull bins: move, one-for-one, two-for-one, each raising squared fill.
+
+    Bins are emptied from the least full on. Stops at the least possible number
+    of bins, after PATIENCE bins in a row from which nothing could go, or after
+    STEPS exchanges.
+    """
     fill = [sum(lengths[i] for i in b) for b in bins]
     least = -(-sum(fill) // cap)
-    live = {k for k, f in enumerate(fill) if f < cap}
-    gone = sum(1 for b in bins if not b)
-    order, failed = sorted(live, key=lambda k: fill[k]), 0
-    for t in order:
-        if len(bins) - gone <= least or failed >= PATIENCE:
+    left, steps, failed = sum(1 for b in bins if b), 0, 0
+    # By length, what the underfull bins hold, by room. Length 0: nothing, for moves.
+    held: dict[int, list[tuple[int, int, int]]] = {}
+
+    def entries(a: int) -> list[tuple[int, tuple[int, int, int]]]:
+        room = cap - fill[a]
+        return [(0, (room, a, -1)), *((n, (room, a, i)) for n, i in {lengths[i]: i for i in bins[a]}.items())]
+
+    def enter(a: int) -> None:
+        if bins[a] and fill[a] < cap:
+            for n, x in entries(a):
+                bisect.insort(held.setdefault(n, []), x)
+
+    def leave(a: int) -> None:
+        if bins[a] and fill[a] < cap:
+            for n, x in entries(a):
+                del held[n][bisect.bisect_left(held[n], x)]
+                if not held[n]:
+                    del held[n]
+
+    if left <= least:
+        return [b for b in bins if b]
+    for a in range(len(bins)):
+        enter(a)
+    for t in sorted((a for a in range(len(bins)) if bins[a] and fill[a] < cap), key=lambda a: fill[a]):
+        if left <= least or failed >= PATIENCE or steps >= STEPS:
             break
-        if not bins[t]:
-            continue
+        leave(t)
         moved = False
-        while bins[t]:
-            # For each length: the roomiest other bin that holds it and is at least as full as the target.
-            best: dict[int, tuple[int, int, int]] = {}
-            roomy: list[tuple[int, int]] = []
-            for a in live:
-                if a != t and bins[a] and fill[a] >= fill[t] and fill[a] < cap:
-                    room = cap - fill[a]
-                    roomy.append((room, a))
-                    for i in bins[a]:
-                        if room > best.get(lengths[i], (0,))[0]:
-                            best[lengths[i]] = (room, a, i)
-            step = _step(bins[t], lengths, best, sorted(roomy))
-            if step is None:
-                break
+        while bins[t] and steps < STEPS and (step := _step(bins[t], lengths, held, cap, fill[t])):
             a, give, take = step
+            leave(a)
             for i in give:
                 bins[t].remove(i)
-                bins[a].append(i)
             for i in take:
                 bins[a].remove(i)
-                bins[t].append(i)
+            bins[a] += give
+            bins[t] += take
             d = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
             fill[a], fill[t], moved = fill[a] + d, fill[t] - d, True
-        gone += not bins[t]
+            enter(a)
+            steps += 1
+        left -= not bins[t]
         failed = 0 if moved else failed + 1
+        enter(t)
     return [b for b in bins if b]
 
 
-def _step(items: list[int], lengths: list[int], best: dict, roomy: list[tuple[int, int]]):
-    for i in sorted(items, key=lambda i: -lengths[i]):
-        for room, a in roomy:
-            if room >= lengths[i]:
-                return a, [i], []
-    found, gain = None, 0
-    held = sorted(items, key=lambda i: -lengths[i])
-    for k, i in enumerate(held):
-        for x, (room, a, j) in best.items():
-            if gain < lengths[i] - x <= room:
-                found, gain = (a, [i], [j]), lengths[i] - x
-            for i2 in held[k + 1 : k + 9]:
-                if gain < lengths[i] + lengths[i2] - x <= room:
-                    found, gain = (a, [i, i2], [j]), lengths[i] + lengths[i2] - x
+def _step(items: list[int], lengths: list[int], held: dict[int, list[tuple[int, int, int]]], cap: int, fill: int):
+    """The exchange (bin, given, taken) that raises squared fill most: one or two given, none or one taken."""
+    found, most = None, 0
+    own = sorted(items, key=lambda i: -lengths[i])
+    gifts = [[i] for i in own] + [[i, j] for k, i in enumerate(own) for j in own[k + 1 : k + 9]]
+    for give in gifts:
+        size = sum(lengths[i] for i in give)
+        for x, bins in held.items():
+            d = size - x
+            if d <= 0 or x == 0 and len(give) > 1:
+                continue
+            at = bisect.bisect_left(bins, (d,))
+            if at < len(bins) and bins[at][0] <= cap - fill:
+                room, a, i = bins[at]
+                gain = d * (cap - room - fill + d)
+                if gain > most:
+                    found, most = (a, give, [i] if i >= 0 else []), gain
     return found
 
 

@@ -232,7 +232,7 @@ def test_op9(spark, dir_):
 
 
 def test_swap_search_empties_bins():
-    bins, lengths = [[0, 1], [2, 3], [4]], [6, 3, 5, 3, 3]
+    bins, lengths = [[0, 1], [2, 3], [4]], [6, 3, 4, 3, 4]
     out = packing.swap_search([list(b) for b in bins], lengths, 10)
     assert len(out) == 2 and sorted(sum(out, [])) == [0, 1, 2, 3, 4] and all(sum(lengths[i] for i in b) <= 10 for b in out)
 
