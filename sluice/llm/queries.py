@@ -68,6 +68,8 @@ QUERIES = {f.__name__: f for f in (op1_warc, op2_simhash, op3_line_dedup, op4_ht
 _TRIM = r"regexp_replace(regexp_replace({x}, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
 _LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 ORACLES: dict[str, str] = {
     "op1_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
@@ -84,4 +86,15 @@ r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (keeper IS NOT NULL AND keeper <> doc_id) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
 FROM k LEFT JOIN r USING (key) GROUP BY doc_id""",
+    "op7_decontamination": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '{_WORD}') AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '{_WORD}') AS ws FROM benchmark),
+q AS (SELECT item_id, least(10, len(ws)) AS n, ws FROM i WHERE len(ws) > 0),
+ip AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(0, len(ws) - n + 1), lambda s: array_to_string(ws[s + 1:s + n], ' '))) AS p FROM q),
+dx AS (SELECT doc_id, n, unnest(list_transform(range(0, len(ws) - n + 1), lambda s: {{'s': s, 'p': array_to_string(ws[s + 1:s + n], ' ')}})) AS x FROM d, (SELECT DISTINCT n FROM q) WHERE len(ws) >= n),
+m AS (SELECT doc_id, item_id, dx.n AS n, x.s AS s FROM dx JOIN ip ON dx.n = ip.n AND x.p = ip.p),
+h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS k FROM m) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(v, ',' ORDER BY v) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS v FROM m) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
 }
