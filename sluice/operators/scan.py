@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from sluice.catalog import CONTEXT_BOOST, Catalog, Pattern
 from sluice.functions.text import EXOTIC_SPACES, LEET, LOOKALIKES
+from sluice.operators.findings import without_overlaps
 
 FINDING = "category string, sub_category string, matched string, span_start int, span_end int, has_context boolean, context_required boolean, confidence double, ord int"
 #: Texts of more characters are not scanned but reported.
@@ -32,6 +33,7 @@ _SPACES = str.maketrans(EXOTIC_SPACES, " " * len(EXOTIC_SPACES))
 _LOOK = str.maketrans(*LOOKALIKES)
 _LEET = str.maketrans(*LEET)
 _WORD = re.compile(r"\b\w+\b")
+_DIGIT = re.compile("[0-9]")
 
 
 def normalized(text: str) -> tuple[str, list[int] | None]:
@@ -63,6 +65,35 @@ def within(a: str, b: str, most: int) -> bool:
     return row[-1] <= most
 
 
+def needs(regex: str) -> tuple[str, bool]:
+    """What every match holds, as far as the expression's outer level shows: a literal start, a digit."""
+    if regex.startswith("(?i)"):
+        return "", False
+    outer, depth, brackets, at = "", 0, False, 0
+    while at < len(regex):
+        c = regex[at]
+        if c == "\\":
+            if not depth and not brackets:
+                outer += regex[at : at + 2]
+            at += 2
+            continue
+        if brackets:
+            brackets = c != "]"
+        elif c == "[":
+            brackets = True
+            outer += "" if depth else "\0"
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            outer += "\0" if not depth else ""
+        elif not depth:
+            outer += c
+        at += 1
+    if "|" in outer:
+        return "", False
+    start = re.match(r"(?:\\b)?([A-Za-z_-]{3,})(?![?*{])", outer)
+    return start[1] if start else "", bool(re.search(r"\\d(?![?*]|\{0)", outer))
+
+
 class Matcher:
     """A catalogue compiled for one worker."""
 
@@ -71,7 +102,7 @@ class Matcher:
         for i, p in enumerate(catalog.patterns):
             words = re.compile("|".join(rf"\b{re.escape(k)}\b" for k in p.keywords), re.IGNORECASE) if p.keywords else None
             long = [(k.lower(), len(k.split())) for k in p.keywords if len(k) >= FUZZY_LENGTH]
-            self.rows.append((i, p, re.compile(p.regex), words, long))
+            self.rows.append((i, p, re.compile(p.regex), words, long, *needs(p.regex)))
 
     @staticmethod
     def context(text: str, start: int, end: int, p: Pattern, words: re.Pattern | None, long: list[tuple[str, int]]) -> bool:
@@ -93,9 +124,11 @@ class Matcher:
 
     def find(self, original: str, require_context: bool = False, max_matches: int = MAX_MATCHES) -> list[tuple]:
         text, places = normalized(original)
-        # Patterns with digits in every match are skipped for texts without one.
+        digits = any(c.isdigit() for c in text) if not text.isascii() else _DIGIT.search(text) is not None
         out: list[tuple] = []
-        for i, p, regex, words, long in self.rows:
+        for i, p, regex, words, long, start, digit in self.rows:
+            if digit and not digits or start not in text:
+                continue
             for m in regex.finditer(text):
                 if p.category == "Credit Card Numbers" and not luhn_valid(m.group()):
                     continue
@@ -148,9 +181,18 @@ def with_findings(df: DataFrame, catalog: Catalog | None = None, text: str = "te
 
 
 def scan(df: DataFrame, catalog: Catalog | None = None, text: str = "text", key: str = "doc_id", deduplicate: bool = True, **options) -> DataFrame:
-    """A row per finding: key and the columns of FINDING. Equal texts are scanned once and joined back."""
-    from sluice.operators.findings import without_overlaps
-
+    """A row per finding: key and the columns of FINDING. Null and empty texts have none."""
     found = with_findings(df.select(key, text), catalog, text, **options)
     found = found.select(key, (without_overlaps("findings") if deduplicate else F.col("findings")).alias("findings"))
     return found.select(key, F.inline("findings"))
+
+
+def scan_distinct(df: DataFrame, catalog: Catalog | None = None, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """As scan(), but each different text is scanned once: worth its shuffle where many rows repeat.
+
+    Rows meet their text's findings again by digest; a text that very many rows
+    share is one row on the findings' side.
+    """
+    rows = df.select(key, F.sha2(text, 256).alias("_h"))
+    once = df.select(F.sha2(text, 256).alias("_h"), text).dropDuplicates(["_h"])
+    return rows.join(scan(once, catalog, text, "_h", **options), "_h").drop("_h")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from sluice.catalog import CARDS, CONTACT, Catalog
 from sluice.functions import text as fn
-from sluice.operators import matching, report, sketches
+from sluice.operators import matching, report, sinks, sketches
 from sluice.operators.findings import beyond_baseline, confident
 from sluice.operators.guard import Guard, detokenized
 from sluice.operators.policy import Policy, session_alerts
-from sluice.operators.scan import scan
+from sluice.operators.scan import scan, scan_distinct
 from sluice.sources.readers import unordered_text_columns
 
 CONTACTS = {"Contact Information"}
@@ -50,6 +50,17 @@ def card_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "sub_category").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("matched")), ";").alias("matches"))
 
 
+def distinct_text_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_distinct(_docs(spark, sf_dir), categories=CONTACTS, deduplicate=False)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    guard = Guard(Catalog.core().only(CONTACTS), "flag")
+    events = sinks.audit_events(guard.apply(_docs(spark, sf_dir)), "flag", at=F.lit("2000-01-01T00:00:00Z"))
+    return events.groupBy("event_type", "is_clean").agg(F.count("*").alias("events"))
+
+
 def compliance_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.compliance(scan(_docs(spark, sf_dir), categories=CONTACTS | CREDIT, deduplicate=False))
 
@@ -174,7 +185,7 @@ def exposure_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("window_start", "user_id", "category", "alert_type", "count", "limit")
 
 
-QUERIES = {f.__name__: f for f in (scan_findings, scan_conversations, contact_matches, card_matches, compliance_frameworks, compliance_by_category, severity_breakdown, confident_findings, new_findings, batch_report, items_by_category, guard_redact, guard_obfuscate, guard_tokenize_round_trip, policy_actions, sarif_results, csv_report, normalized_text, shown_values, luhn_keys, row_texts, text_entropy, edm_hits, similar_documents, benchmark_fragments, count_min, distinct_users, exposure_alerts)}
+QUERIES = {f.__name__: f for f in (scan_findings, scan_conversations, contact_matches, card_matches, distinct_text_matches, audit_trail, compliance_frameworks, compliance_by_category, severity_breakdown, confident_findings, new_findings, batch_report, items_by_category, guard_redact, guard_obfuscate, guard_tokenize_round_trip, policy_actions, sarif_results, csv_report, normalized_text, shown_values, luhn_keys, row_texts, text_entropy, edm_hits, similar_documents, benchmark_fragments, count_min, distinct_users, exposure_alerts)}
 
 
 def _q(regex: str) -> str:
@@ -196,6 +207,8 @@ _FOUND = f"c AS ({_CONTACT}), k AS (SELECT * FROM ({_CARDS}) WHERE {_LUHN}), f A
 
 ORACLES: dict[str, str] = {
     "contact_matches": f"WITH c AS ({_CONTACT}) SELECT doc_id, sub_category, count(*) AS n, string_agg(m, ';' ORDER BY m) AS matches FROM c GROUP BY ALL",
+    "distinct_text_matches": f"SELECT doc_id, count(*) AS n FROM ({_CONTACT}) GROUP BY doc_id",
+    "audit_trail": f"WITH c AS ({_CONTACT}) SELECT 'FLAG' AS event_type, doc_id NOT IN (SELECT doc_id FROM c) AS is_clean, count(*) AS events FROM documents GROUP BY ALL",
     "card_matches": f"WITH {_FOUND} SELECT doc_id, sub_category, count(*) AS n, string_agg(m, ';' ORDER BY m) AS matches FROM k GROUP BY ALL",
     "compliance_frameworks": f"WITH {_FOUND} SELECT 'PCI-DSS' AS framework, NOT EXISTS (FROM k) AS passed UNION ALL SELECT 'GDPR', NOT EXISTS (FROM c) UNION ALL SELECT 'HIPAA', true UNION ALL SELECT 'SOC2', true",
     "new_findings": f"WITH c AS (SELECT f.*, source AS filename FROM ({_CONTACT}) f JOIN documents d ON d.doc_id = f.doc_id) SELECT filename, sub_category, count(*) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.doc_id % 2 = 0 AND b.filename = c.filename AND b.sub_category = c.sub_category) GROUP BY ALL",

@@ -261,3 +261,44 @@ def test_streams(spark, tmp_path):
 
 def test_every_query_has_a_name_and_known_oracles():
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_sinks(spark, tmp_path):
+    from sluice.operators import sinks
+
+    out = guard.Guard(action="flag").apply(frame(spark, "mail a@b.com", "clean"))
+    events = sinks.audit_events(out, "flag", "me")
+    for kind in ("splunk", "elastic", "datadog", "syslog", "json"):
+        rows = [r["payload"] for r in sinks.payloads(events, kind).collect()]
+        assert len(rows) == 2 and all("a@b.com" not in r for r in rows)
+    with pytest.raises(ValueError):
+        sinks.payloads(events, "fax")
+    folder = str(tmp_path)
+
+    def send(lines):
+        import os
+        import uuid
+
+        text = "\n".join(lines)
+        if text:
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+                f.write(text)
+
+    sinks.deliver(send)(events, 0)
+    assert sum(len(p.read_text().split("\n")) for p in tmp_path.iterdir()) == 2
+
+
+def test_needs_skip_nothing():
+    words = ["4539148803436467", "AKIA" + "A" * 16, "a@b.com", "+4930123456", "1.2.3.4", "dob 01/02/1990", "$ABC", "https://u:p@h", "0x" + "a" * 40, "é １２３-45-6789", "key-" + "a" * 32, "Bearer abc", "password=abcdefgh1"]
+    r = random.Random(1)
+    quick, full = scan.Matcher(Catalog.core()), scan.Matcher(Catalog.core())
+    full.rows = [(*x[:5], "", False) for x in full.rows]
+    for _ in range(150):
+        t = " ".join(r.sample(words, r.randint(1, 5)))
+        assert quick.find(t) == full.find(t)
+
+
+def test_scan_distinct(spark):
+    df = frame(spark, "mail a@b.com", "mail a@b.com", None, "x")
+    a, b = (sorted(map(tuple, f(df).collect())) for f in (scan.scan, scan.scan_distinct))
+    assert a == b and len(a) == 2
