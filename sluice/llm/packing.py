@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import os
 import re
 import zlib
@@ -31,7 +32,7 @@ from .common import stored
 #: Pieces in a packing group, about.
 GROUP = 65_536
 #: Words whose ids a worker remembers.
-WORDS = 400_000
+WORDS = 800_000
 #: Failing targets in a row after which the local search rests.
 PATIENCE = 64
 #: Exchanges of a group's local search at most: it bounds time, never what is packed.
@@ -41,6 +42,9 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 #: White space beyond ASCII's usual: there Python's split and the tokenizer's may differ.
 _ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
+#: Letters whose lower case and composition are beyond doubt, then marks that never join them.
+_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?()%*#$&|+=/-]*)")
+
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -52,7 +56,10 @@ class WordIds(dict):
     """Ids by white-space separated word, as bytes.
 
     The tokenizer splits at white space before it merges, so a text's ids are
-    those of its words in turn; a word is encoded once for each worker.
+    those of its words in turn; a word is encoded once for each worker. A word
+    that is letters and then marks has the ids of its lower-cased letters and of
+    its marks. New letter words are encoded many at a time: each is one token
+    run, whose end the vocabulary's suffix shows.
     """
 
     def __init__(self, path: str):
@@ -61,17 +68,58 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def alone(self, words: list[str]) -> None:
+        for at in range(0, len(words), 1024):
+            part = words[at : at + 1024]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self[w] = array("I", e.ids).tobytes()
 
-    def ids(self, text: str | None) -> np.ndarray:
-        words = (text or "").split() if not _ODD.search(text or "") else [w for w in re.split("[ \t\n\r]+", text) if w]
+    def together(self, words: list[str]) -> None:
+        """Words of letters alone, lower-cased."""
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                self.alone(part)
+                continue
+            data, last = ids.tobytes(), 0
+            for w, e in zip(part, (4 * ends).tolist(), strict=True):
+                self[w] = data[last:e]
+                last = e
+
+    def learn(self, words: set[str]) -> None:
+        """Fill in what is not yet known of words."""
         if len(self) > WORDS:
             self.clear()
-        new = [w for w in set(words) if w not in self]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[w] = array("I", e.ids).tobytes()
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
+        new = [w for w in words if w not in self]
+        split, other, letters = [], [], set()
+        for w in new:
+            m = _PLAIN.fullmatch(w)
+            if m is None:
+                other.append(w)
+            else:
+                low, marks = m[1].lower(), m[2]
+                letters.add(low)
+                if marks or low != w:
+                    split.append((w, low, marks))
+        self.together([w for w in letters if w not in self])
+        self.alone([*other, *({m for _, _, m in split if m and m not in self})])
+        for w, low, marks in split:
+            self[w] = self[low] + self[marks] if marks else self[low]
+
+    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        lists = [t.split() if not _ODD.search(t) else [w for w in re.split("[ \t\n\r]+", t) if w] for t in (t or "" for t in texts)]
+        self.learn(set().union(*lists))
+        return [np.frombuffer(b"".join(map(self.__getitem__, x)), "<u4") for x in lists]
+
+    def ids(self, text: str | None) -> np.ndarray:
+        return self.batch([text])[0]
 
 
 @functools.cache
@@ -87,8 +135,9 @@ def token_pieces(docs: DataFrame, path: str, cap: int = 2048, end_id: int = 0) -
         words = word_ids(path)
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.append(words.ids(text.as_py()), np.uint32(end_id)).astype("<u4")
+            docs, texts = b.column(0).to_pylist(), b.column(1)
+            for doc, own in ((d, x) for at in range(0, len(docs), 64) for d, x in zip(docs[at : at + 64], words.batch(texts.slice(at, 64).to_pylist()), strict=True)):
+                ids = np.append(own, np.uint32(end_id)).astype("<u4")
                 out += [(doc, k, s, len(x := ids[s : s + cap]), zlib.crc32(x.tobytes())) for k, s in enumerate(range(0, len(ids), cap))]
             if out:
                 d, k, s, n, c = zip(*out, strict=True)
