@@ -15,6 +15,7 @@ after which at most 14 bits are free: distinct fingerprints then fill at most
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -241,6 +242,7 @@ NEAR_BITS = 20
 _SIGNED = "doc_id bigint, th bigint, sig binary, fp bigint, bands array<bigint>"
 
 
+@functools.cache
 def _multipliers() -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b"row %d" % i) | 1 for i in range(BANDS * ROWS)], np.uint64)
 
@@ -252,7 +254,8 @@ def signature(hashes: np.ndarray) -> tuple[bytes, int, list[int]]:
     if not len(own):
         return b"", fp, []
     with np.errstate(over="ignore"):
-        least = np.array([(own * m).min() for m in _multipliers()], np.uint64).reshape(BANDS, ROWS)
+        parts = [(own[None, at : at + 16384] * _multipliers()[:, None]).min(1) for at in range(0, len(own), 16384)]
+        least = np.minimum.reduce(parts).reshape(BANDS, ROWS)
     return xxhash.xxh3_128_digest(own.tobytes()), fp, [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(least)]
 
 
