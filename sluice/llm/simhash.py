@@ -81,10 +81,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def compare(fps: np.ndarray, radius: int, bits: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def compare(fps: np.ndarray, radius: int, bits: list[int] | None = None, asked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs (i, j, distance) of a bucket with i != j and distance <= radius, chunk of queries by chunk.
 
-    bits: the planes that can differ. Each distance is counted in carry-save
+    bits: the planes that can differ; asked: the members i, all if not given. Each distance is counted in carry-save
     form, saturating in ``over`` once it passes what the digits hold.
     """
     m, words = len(fps), -(-len(fps) // 64)
@@ -94,8 +94,9 @@ def compare(fps: np.ndarray, radius: int, bits: list[int] | None = None) -> Iter
     planes = np.stack([np.packbits(((padded >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<u8") for b in bits]) if bits else np.zeros((0, words), np.uint64)
     digits = max(1, radius.bit_length())
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for at in range(0, m, CHUNK):
-        q = fps[at : at + CHUNK]
+    asked = np.arange(m) if asked is None else asked
+    for at in range(0, len(asked), CHUNK):
+        q = fps[asked[at : at + CHUNK]]
         live = np.arange(words)
         count = np.zeros((digits, len(q), words), np.uint64)
         over = np.zeros((len(q), words), np.uint64)
@@ -121,7 +122,7 @@ def compare(fps: np.ndarray, radius: int, bits: list[int] | None = None) -> Iter
         hit = np.unpackbits(near[i, w].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         r, c = np.nonzero(hit)
         dist = sum((((count[d][i[r], w[r]] >> c.astype(np.uint64)) & np.uint64(1)) << np.uint64(d)) for d in range(digits)).astype(np.int64)
-        i, j = i[r] + at, live[w[r]] * 64 + c
+        i, j = asked[i[r] + at], live[w[r]] * 64 + c
         ok = (j < m) & (i != j)
         if ok.any():
             yield i[ok], j[ok], dist[ok]
@@ -273,14 +274,20 @@ def _nearest(radius: int, most: int):
             for s, e in zip(np.append(0, cut), np.append(cut, len(pdf)), strict=True):
                 if e - s < 2:
                     continue
-                for i, j, d in compare(fp[s:e], radius):
-                    ok = j < i  # members come sorted by id
-                    i, j, d = i[ok], j[ok], d[ok]
-                    order = np.lexsort((j, d, i))
-                    i, j, d = i[order], j[order], d[order]
-                    rank = np.arange(len(i)) - np.searchsorted(i, i)
-                    best = rank < most
-                    out.append((rep[s:e][i[best]], rep[s:e][j[best]], d[best]))
+                # A member with enough neighbours within a smaller radius needs no larger one: its nearest are among them.
+                left = np.arange(e - s)
+                for near in (*[r for r in (2, 5, 9, 14) if r < radius], radius):
+                    done = []
+                    for i, j, d in compare(fp[s:e], near, None, left):
+                        ok = j < i  # members come sorted by id
+                        i, j, d = i[ok], j[ok], d[ok]
+                        order = np.lexsort((j, d, i))
+                        i, j, d = i[order], j[order], d[order]
+                        rank = np.arange(len(i)) - np.searchsorted(i, i)
+                        best = (rank < most) & ((near == radius) | np.isin(i, i[rank == most - 1]))
+                        out.append((rep[s:e][i[best]], rep[s:e][j[best]], d[best]))
+                        done.append(i[rank == most - 1])
+                    left = np.setdiff1d(left, np.concatenate(done)) if done else left
             if out:
                 a, b, d = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pd.DataFrame({"a": a, "b": b, "d": d})
