@@ -177,5 +177,5 @@ def dedup_lines(docs: DataFrame, least: int = 20, copies: int = 3, log_bits: int
     own = docs.select(F.col("doc_id").cast("bigint"), "text", *also)
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for c in also for f in own.schema.fields if f.name == c)
     lost = stored(repeated_lines(docs, least, copies, log_bits), "line-lost")
-    both = own.alias("l").join(lost.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), "left").select("l.doc_id", "l.text", "r.keys", *[f"l.{c}" for c in also])
+    both = own.alias("l").join(lost.hint("merge").alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), "left").select("l.doc_id", "l.text", "r.keys", *[f"l.{c}" for c in also])
     return both.mapInArrow(drop, "doc_id bigint, n_lines bigint, n_dropped bigint, text string" + more)

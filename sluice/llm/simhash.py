@@ -341,7 +341,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     chosen = own.join(ends, F.col("doc_id") == F.col("rep")).join(members.select("sig", F.col("rep").alias("of")), "sig").where("of = rep").select("rep", "th").distinct()
     texts = rows.join(sized(stored(chosen, "near-texts")).alias("c"), (F.col("doc_id") == F.col("rep")) & (rows["th"] == F.col("c.th"))).dropDuplicates(["rep"]).select("rep", "text")
     shingles = stored(texts.mapInArrow(sets, "rep bigint, set binary"), "near-sets")
-    both = pairs.join(shingles.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(shingles.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
+    both = pairs.join(shingles.select(F.col("rep").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(shingles.select(F.col("rep").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
     links = stored(both.select("a", "b", "x", "y").mapInArrow(verified, "a bigint, b bigint"), "near-links")
     found = components(links)
     classes = stored(members.join(found, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("component")), "near-classes")
