@@ -238,8 +238,10 @@ def near_classes(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
 
 #: Bands and values of each band: a pair of Jaccard similarity 0.8 shares one with probability 0.9998.
 BANDS, ROWS = 12, 3
-#: Differing bits up to which members of a bucket are compared exactly: 0.8 lies 3.5 deviations below.
+#: Differing bits up to which a member's nearest are sought before the rest of its bucket; no pair is dropped by it.
 NEAR_BITS = 20
+#: Members of a block of an open bucket; a task holds two blocks at a time.
+BLOCK = 512
 _SIGNED = "doc_id bigint, th bigint, sig binary, fp bigint, bands array<bigint>"
 
 
@@ -295,14 +297,101 @@ def _nearest(radius: int, most: int):
     return run
 
 
-def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = NEAR_BITS, hot: int = 4 * HOT, most: int = 2) -> DataFrame:
+def open_links(component: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join components of a bucket wherever sets of two of them are as similar; a forest, not all pairs.
+
+    Each member is held against all that lie outside its component as grown so far; those within are linked already.
+    With two sides, only members of different sides are held against each other.
+    """
+    sizes = np.array([len(x) for x in sets])
+    starts = np.append(0, np.cumsum(sizes))
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(ids.max() + 1, bool)
+    _, own = np.unique(component, return_inverse=True)
+    order, ends = np.argsort(own, kind="stable"), np.cumsum(np.bincount(own))
+    groups = np.split(order, ends[:-1])
+    outside = np.ones(len(sets), bool)
+    two = side.any()
+    out = []
+    for g in sorted(groups, key=len):  # the largest is last, when hardly any is left outside
+        if not outside[g[0]]:
+            continue
+        outside[g] = False
+        queue = list(g)
+        while queue:
+            i = queue.pop()
+            ok = outside & (sizes >= similarity * sizes[i]) & (sizes[i] >= similarity * sizes)
+            if two:
+                ok &= side != side[i]
+            j = np.flatnonzero(ok)
+            if not len(j):
+                continue
+            mark[ids[starts[i] : starts[i + 1]]] = True
+            held = mark[np.concatenate([ids[starts[k] : starts[k + 1]] for k in j])]
+            mark[ids[starts[i] : starts[i + 1]]] = False
+            both = np.add.reduceat(held, np.append(0, np.cumsum(sizes[j])[:-1]), dtype=np.int64)
+            for k in j[both >= similarity * (sizes[i] + sizes[j] - both)]:
+                if outside[k]:
+                    out.append((i, k))
+                    outside[groups[own[k]]] = False
+                    queue.extend(groups[own[k]])
+    return out
+
+
+def _opened(similarity: float):
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in buckets(pdfs, ["band", "part", "x", "y"]):
+            if len(pdf) < 2:
+                continue
+            key = pdf[["band", "part", "x", "y"]].to_numpy()
+            cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            rep, component, side = (pdf[c].to_numpy() for c in ("rep", "component", "side"))
+            a, b = [], []
+            for s, e in zip(np.append(0, cut), np.append(cut, len(pdf)), strict=True):
+                if e - s > 1 and (component[s:e] != component[s]).any():
+                    sets = [np.frombuffer(x, np.uint32) for x in pdf["set"].iloc[s:e]]
+                    for i, j in open_links(component[s:e], side[s:e], sets, similarity):
+                        a.append(rep[s + i])
+                        b.append(rep[s + j])
+            if a:
+                yield pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
+def _blocks(placed: DataFrame, block: int) -> DataFrame:
+    """band, part, x, y, side, rep, component: members of buckets with several components, dealt by pairs of blocks.
+
+    A component of more than ``block`` members has blocks of its own, which are not paired with each other; the others
+    share blocks. Every two members of a bucket in different components meet in a pair of blocks (x, y).
+    """
+    each = stored(placed.groupBy("band", "part", "component").agg(F.count("*").alias("m")), "bucket-components")
+    large = F.col("m") > block
+    number = F.ceil(F.col("m") / block).cast("int")
+    few = F.ceil(F.coalesce(F.sum(F.when(~large, F.col("m"))), F.lit(0)) / block).cast("int").alias("few")
+    by = each.groupBy("band", "part").agg(F.count("*").alias("components"), few, F.collect_list(F.when(large, F.struct("component", number.alias("n")))).alias("large")).where("components > 1")
+    own = "transform(filter(sequence(0, few), k -> k < few), k -> named_struct('own', false, 'of', 0L, 'k', k))"
+    theirs = "flatten(transform(large, l -> transform(sequence(0, l.n - 1), k -> named_struct('own', true, 'of', l.component, 'k', k))))"
+    by = stored(by.select("band", "part", "few", F.expr(f"concat({own}, {theirs})").alias("blocks")), "open-buckets")
+    rows = placed.join(each, ["band", "part", "component"]).join(by, ["band", "part"])
+    mine = F.struct(large.alias("own"), F.when(large, F.col("component")).otherwise(F.lit(0)).cast("bigint").alias("of"), F.pmod(F.xxhash64("rep"), F.when(large, number).otherwise(F.col("few"))).cast("int").alias("k"))
+    rows = rows.withColumn("mine", mine).withColumn("at", F.expr("cast(array_position(blocks, mine) - 1 as int)"))
+    rows = rows.select("band", "part", "rep", "component", "mine", "at", F.posexplode("blocks").alias("to", "other"))
+    rows = rows.where(~(F.col("mine.own") & F.col("other.own") & (F.col("mine.of") == F.col("other.of"))))
+    return rows.select("band", "part", F.least("at", "to").alias("x"), F.greatest("at", "to").alias("y"), (F.col("at") > F.col("to")).cast("int").alias("side"), "rep", "component")
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = NEAR_BITS, hot: int = 4 * HOT, most: int = 2, block: int = BLOCK) -> DataFrame:
     """doc_id, th (xxhash64 of the text), component: documents of one group are linked by Jaccard similarity of word shingles.
 
-    Equal shingle sets are one member. Members that share a band are compared
-    bit-sliced; each is then held, shingle by shingle, against its ``most``
-    nearest members of smaller id, and linked at ``similarity`` or more. Buckets
-    of more than ``hot`` different sets are cut by the band that follows. Texts
-    without words are one group. A null doc_id never leads a group that has another.
+    Equal shingle sets are one member. Members that share a band are candidates.
+    First each is held, shingle by shingle, against its ``most`` nearest by
+    fingerprint of smaller id, which links most groups. Then each bucket that
+    still holds several components is gone through whole: every two members of
+    different components are held against each other, unless links found there
+    have joined them. Buckets of more than ``hot`` different sets are cut by the
+    band that follows. Texts without words are one group. A null doc_id never
+    leads a group that has another.
     """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,6 +417,14 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     own = stored(rows.mapInArrow(signed, _SIGNED), "signatures")
     members = stored(own.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "members")
+
+    def shingled(ends: DataFrame) -> DataFrame:
+        """rep, set of the members named in ends (rep)."""
+        ends = stored(ends.distinct(), "near-ends")
+        chosen = own.join(ends, F.col("doc_id") == F.col("rep")).join(members.select("sig", F.col("rep").alias("of")), "sig").where("of = rep").select("rep", "th").distinct()
+        texts = rows.join(sized(stored(chosen, "near-texts")).alias("c"), (F.col("doc_id") == F.col("rep")) & (rows["th"] == F.col("c.th"))).dropDuplicates(["rep"]).select("rep", "text")
+        return stored(texts.mapInArrow(sets, "rep bigint, set binary"), "near-sets")
+
     each = members.where("rep is not null").select("rep", "fp", "bands", F.posexplode("bands").alias("band", "part"))
     counts = stored(each.groupBy("band", "part").agg(F.count("*").alias("n")).where("n > 1"), "bands")
     plain = each.join(counts.where(F.col("n") <= hot), ["band", "part"]).select("band", "part", "rep", "fp")
@@ -337,13 +434,16 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     near = dealt.mapInPandas(_nearest(radius, most), "a bigint, b bigint, d bigint")
     near = near.groupBy("a", "b").agg(F.min("d").alias("d")).groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "b"))), 1, most).alias("x"))
     pairs = stored(near.select("a", F.explode("x").alias("x")).select("a", "x.b"), "near-pairs")
-    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "near-ends")
-    chosen = own.join(ends, F.col("doc_id") == F.col("rep")).join(members.select("sig", F.col("rep").alias("of")), "sig").where("of = rep").select("rep", "th").distinct()
-    texts = rows.join(sized(stored(chosen, "near-texts")).alias("c"), (F.col("doc_id") == F.col("rep")) & (rows["th"] == F.col("c.th"))).dropDuplicates(["rep"]).select("rep", "text")
-    shingles = stored(texts.mapInArrow(sets, "rep bigint, set binary"), "near-sets")
+    shingles = shingled(pairs.select(F.explode(F.array("a", "b")).alias("rep")))
     both = pairs.join(shingles.select(F.col("rep").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(shingles.select(F.col("rep").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
-    links = stored(both.select("a", "b", "x", "y").mapInArrow(verified, "a bigint, b bigint"), "near-links")
-    found = components(links)
+    found = stored(components(stored(both.select("a", "b", "x", "y").mapInArrow(verified, "a bigint, b bigint"), "near-links")), "near-components")
+    # Buckets that hold several components yet: the rest of their candidates.
+    placed = plain.unionAll(cut).select("band", "part", "rep").join(found, F.col("rep") == F.col("node"), "left").select("band", "part", "rep", F.coalesce("component", "rep").alias("component"))
+    left = stored(_blocks(placed, block), "open-members")
+    shingles = shingled(left.select("rep"))
+    left = left.join(shingles.hint("merge"), "rep").repartition(F.col("band"), F.col("part"), F.col("x"), F.col("y")).sortWithinPartitions("band", "part", "x", "y", "rep")
+    more = stored(left.mapInPandas(_opened(similarity), "a bigint, b bigint").distinct(), "open-links")
+    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
     classes = stored(members.join(found, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("component")), "near-classes")
     return own.join(classes, "sig").select("doc_id", "th", "component")
 

@@ -268,3 +268,60 @@ def test_op10_without_labels(spark, dir_):
 
 def test_crc_is_unsigned():
     assert zlib.crc32(b"\xff" * 9) >= 0
+
+
+def _shifted(base, at, n, tag):
+    """base with n words in a row from ``at`` on replaced."""
+    return base[:at] + [f"{tag}{k}" for k in range(n)] + base[at + n :]
+
+
+def _groups_by_hand(docs, size=5, similarity=0.8):
+    """Components of all pairs that are similar enough."""
+    sets = [frozenset(simhash.shingle_hashes(t, size).tolist()) for _, t in docs]
+    label = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    return {docs[i][0]: min(docs[k][0] for k in range(len(docs)) if label[k] == label[i]) for i in range(len(docs))}
+
+
+def test_similar_groups_goes_past_the_two_nearest(spark):
+    """Six short of the threshold are nearer by fingerprint than the one that reaches it, and one text bridges two groups."""
+    r = random.Random(4)
+    docs, i = [], 0
+    for _ in range(12):
+        base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        family = [_shifted(base, r.randrange(150), 18, f"f{i}x{k}") for k in range(8)] + [base]
+        for w in family:
+            docs.append((i, " ".join(w)))
+            i += 1
+        x = [f"b{r.randrange(10**6)}" for _ in range(200)]
+        y = _shifted(x, 10, 30, f"y{i}x")
+        for w in (_shifted(x, 190, 1, "p"), _shifted(x, 188, 1, "q"), y, _shifted(x, 10, 15, f"y{i}x")):
+            docs.append((i, " ".join(w)))
+            i += 1
+    got = {d["doc_id"]: d["component"] for d in simhash.similar_groups(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == _groups_by_hand(docs)
+
+
+def test_open_links():
+    r = random.Random(9)
+    sets = []
+    for _ in range(9):
+        base = [r.getrandbits(32) for _ in range(40)]
+        sets += [np.array(sorted({*base[r.randint(0, 8) :], *(r.getrandbits(32) for _ in range(r.randint(0, 6)))}), np.uint32) for _ in range(9)]
+    n = len(sets)
+    pairs = [(i, j) for i in range(n) for j in range(i) if (b := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - b)]
+
+    def classes(links):
+        label = list(range(n))
+        for i, j in links:
+            label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+        return label
+
+    for given in ([], pairs[::7]):
+        first = np.array(classes(given))
+        found = simhash.open_links(first, np.zeros(n, int), sets, 0.8)
+        assert classes([*given, *found]) == classes(pairs) and len(found) == len(set(first)) - len(set(classes(pairs)))
+        assert set(map(tuple, map(sorted, found))) <= {(j, i) for i, j in pairs}
