@@ -389,9 +389,10 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     fingerprint of smaller id, which links most groups. Then each bucket that
     still holds several components is gone through whole: every two members of
     different components are held against each other, unless links found there
-    have joined them. Buckets of more than ``hot`` different sets are cut by the
-    band that follows. Texts without words are one group. A null doc_id never
-    leads a group that has another.
+    have joined them. For the nearest, buckets of more than ``hot`` different
+    sets are cut into pieces, other ones in each band; the second pass takes
+    them uncut, so the cut loses no pair. Texts without words are one group. A
+    null doc_id never leads a group that has another.
     """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,8 +429,8 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     each = members.where("rep is not null").select("rep", "fp", "bands", F.posexplode("bands").alias("band", "part"))
     counts = stored(each.groupBy("band", "part").agg(F.count("*").alias("n")).where("n > 1"), "bands")
     plain = each.join(counts.where(F.col("n") <= hot), ["band", "part"]).select("band", "part", "rep", "fp")
-    after = F.get("bands", F.pmod(F.col("band") + 1, F.lit(BANDS)))
-    cut = each.join(counts.where(F.col("n") > hot), ["band", "part"]).select((F.col("band") + BANDS).alias("band"), F.xxhash64("part", after).alias("part"), "rep", "fp")
+    piece = F.pmod(F.xxhash64("rep", "band"), F.ceil(F.col("n") / hot))
+    cut = each.join(counts.where(F.col("n") > hot), ["band", "part"]).select((F.col("band") + BANDS).alias("band"), F.xxhash64("part", piece).alias("part"), "rep", "fp")
     dealt = plain.unionAll(cut).repartition(F.col("band"), F.col("part")).sortWithinPartitions("band", "part", "rep")
     near = dealt.mapInPandas(_nearest(radius, most), "a bigint, b bigint, d bigint")
     near = near.groupBy("a", "b").agg(F.min("d").alias("d")).groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "b"))), 1, most).alias("x"))
@@ -438,7 +439,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     both = pairs.join(shingles.select(F.col("rep").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(shingles.select(F.col("rep").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
     found = stored(components(stored(both.select("a", "b", "x", "y").mapInArrow(verified, "a bigint, b bigint"), "near-links")), "near-components")
     # Buckets that hold several components yet: the rest of their candidates.
-    placed = plain.unionAll(cut).select("band", "part", "rep").join(found, F.col("rep") == F.col("node"), "left").select("band", "part", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = each.join(counts, ["band", "part"]).select("band", "part", "rep").join(found, F.col("rep") == F.col("node"), "left").select("band", "part", "rep", F.coalesce("component", "rep").alias("component"))
     left = stored(_blocks(placed, block), "open-members")
     shingles = shingled(left.select("rep"))
     left = left.join(shingles.hint("merge"), "rep").repartition(F.col("band"), F.col("part"), F.col("x"), F.col("y")).sortWithinPartitions("band", "part", "x", "y", "rep")

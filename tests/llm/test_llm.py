@@ -325,3 +325,16 @@ def test_open_links():
         found = simhash.open_links(first, np.zeros(n, int), sets, 0.8)
         assert classes([*given, *found]) == classes(pairs) and len(found) == len(set(first)) - len(set(classes(pairs)))
         assert set(map(tuple, map(sorted, found))) <= {(j, i) for i, j in pairs}
+
+
+def test_hot_bands_lose_no_similar_pair(spark):
+    """The groups are the same at every bucket and block size."""
+    r = random.Random(6)
+    docs = []
+    for _ in range(25):
+        base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        docs += [" ".join(w) for w in (base, _shifted(base, 60, 30, f"x{len(docs)}y"), _shifted(base, 100, 17, f"z{len(docs)}y"), _shifted(base, 30, 21, f"v{len(docs)}y"))]
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for hot, block in ((1, 1), (1, 2), (16384, 512)):
+        assert {d["doc_id"]: d["component"] for d in simhash.similar_groups(df, hot=hot, block=block).collect()} == _groups_by_hand(docs)
