@@ -302,3 +302,11 @@ def test_scan_distinct(spark):
     df = frame(spark, "mail a@b.com", "mail a@b.com", None, "x")
     a, b = (sorted(map(tuple, f(df).collect())) for f in (scan.scan, scan.scan_distinct))
     assert a == b and len(a) == 2
+
+
+def test_exposure_alerts_of_every_category(spark, tmp_path):
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    rows = [("2024-01-01 10:00:00", 1, k, str(n)) for k in kinds for n in range(3)]
+    spark.createDataFrame(rows, "ts string, user_id bigint, event_type string, props string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.exposure_alerts(spark, str(tmp_path)).collect()
+    assert sorted((r["category"], r["alert_type"], r["count"]) for r in got) == sorted((k, t, n) for k in kinds for t, n in (("total", 3), ("unique", 15)))
