@@ -62,7 +62,8 @@ def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compliance_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.compliance(scan(_docs(spark, sf_dir), categories=CONTACTS | CREDIT, deduplicate=False))
+    named = {c for cs in report.FRAMEWORKS.values() for c in cs}
+    return report.compliance(scan(_docs(spark, sf_dir), categories=named, deduplicate=False))
 
 
 def compliance_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
