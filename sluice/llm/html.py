@@ -27,8 +27,10 @@ _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+#: Elements whose content is no markup: all up to the end tag of their name, whatever stands before it.
+_PLAIN = {k: re.compile(rf"</{k}(?=[\s/>])[^>]*>?", re.I) for k in ("script", "style", "textarea", "title", "iframe")}
 #: Elements whose content is never text of the page.
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math", "select", "head"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "head"}
 _VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed", "param", "track"}
 _BLOCK = set("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption nav header footer aside form fieldset address details summary center button label legend dialog menu".split())
 _P_ENDS = _BLOCK - {"button", "label", "summary", "legend"}
@@ -70,8 +72,13 @@ def parse(page: str | None) -> Tree:
     links = 0
     raw: str | None = None
     run = -1
-    for m in _TOKEN.finditer(page or ""):
-        tok = m.group()
+    page, at = page or "", 0
+    while m := _TOKEN.match(page, at):
+        tok, at = m.group(), m.end()
+        if tok[0] == "<" and (n := _NAME.match(tok)) and (plain := _PLAIN.get(n[1].lower())) and tok[1] != "/" and not tok.endswith("/>"):
+            if end := plain.search(page, at):
+                at = end.end()
+                continue
         if raw is not None:
             if tok.startswith("</") and (n := _NAME.match(tok)) and n[1].lower() == raw:
                 raw = None
@@ -101,9 +108,9 @@ def parse(page: str | None) -> Tree:
                 links = max(0, links - 1)
             elif name in _BLOCK:
                 run = -1
-                at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-                if at:
-                    del stack[at:]
+                top = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
+                if top:
+                    del stack[top:]
             continue
         if name == "a":
             links += not tok.endswith("/>")
@@ -122,9 +129,9 @@ def parse(page: str | None) -> Tree:
             if name in ("html", "body") and len(stack) > 1:
                 continue
             if name in _P_ENDS:
-                at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p" or stack[k][0] in _SCOPE or stack[k][0] in ("td", "li", "blockquote")), 0)
-                if at and stack[at][0] == "p":
-                    del stack[at:]
+                top = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p" or stack[k][0] in _SCOPE or stack[k][0] in ("td", "li", "blockquote")), 0)
+                if top and stack[top][0] == "p":
+                    del stack[top:]
             if name in _CLOSES:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in _CLOSES[name]:

@@ -338,3 +338,11 @@ def test_hot_bands_lose_no_similar_pair(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     for hot, block in ((1, 1), (1, 2), (16384, 512)):
         assert {d["doc_id"]: d["component"] for d in simhash.similar_groups(df, hot=hot, block=block).collect()} == _groups_by_hand(docs)
+
+
+def test_op4_scripts_with_less_than():
+    text = "One two three four five, and quite a lot more of the same."
+    for script in ("<script>for(i=0;i<n;i++){f('<!-- x')}</script>", "<style>a<b{}</style>", "<SCRIPT>if(a<b && c=='\"')x()</Script >", "<textarea><b <i</textarea>", "<script>var s='<body>'</script>", "<iframe><a <b</iframe>"):
+        for page in (f"<head>{script}</head><body><article><p>{text}</p><p>{text}</p></article></body>", f"<body><article><p>{text}</p>{script}<p>{text}</p></article></body>"):
+            assert [t for t in html.blocks(html.parse(page)) if t] == [text, text]
+    assert [t for t in html.blocks(html.parse("<body><p>Where <math><mi>x</mi> = 2</math> holds.</p>")) if t] == ["Where x = 2 holds."]
