@@ -346,3 +346,16 @@ def test_op4_scripts_with_less_than():
         for page in (f"<head>{script}</head><body><article><p>{text}</p><p>{text}</p></article></body>", f"<body><article><p>{text}</p>{script}<p>{text}</p></article></body>"):
             assert [t for t in html.blocks(html.parse(page)) if t] == [text, text]
     assert [t for t in html.blocks(html.parse("<body><p>Where <math><mi>x</mi> = 2</math> holds.</p>")) if t] == ["Where x = 2 holds."]
+
+
+def test_short_similar_texts_link_beyond_the_radius(spark):
+    """Four shingles against five: some such pairs differ in more bits than NEAR_BITS."""
+    r = random.Random(8)
+    docs = []
+    while len(docs) < 10:
+        w = [f"w{r.randrange(10**6)}" for _ in range(9)]
+        a, b = (simhash.signature(simhash.shingle_hashes(" ".join(x), 5)) for x in (w, w[:8]))
+        if (a[1] ^ b[1]).bit_count() > simhash.NEAR_BITS and set(a[2]) & set(b[2]):
+            docs += [(len(docs), " ".join(w)), (len(docs) + 1, " ".join(w[:8]))]
+    got = {d["doc_id"]: d["component"] for d in simhash.similar_groups(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(10)}
