@@ -15,6 +15,7 @@ from __future__ import annotations
 import bisect
 import functools
 import json
+import operator
 import os
 import re
 import zlib
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,19 +33,20 @@ from .common import stored
 
 #: Pieces in a packing group, about.
 GROUP = 65_536
-#: Words whose ids a worker remembers.
-WORDS = 800_000
+#: Repeated words whose ids a task remembers, some 200 bytes each, and bytes of text that it tokenizes at a time.
+WORDS, CHUNK = 100_000, 4 << 20
+
 #: Failing targets in a row after which the local search rests.
 PATIENCE = 64
 #: Exchanges of a group's local search at most: it bounds time, never what is packed.
 STEPS = 4000
-
+_id = operator.attrgetter("id")
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-#: White space beyond ASCII's usual: there Python's split and the tokenizer's may differ.
-_ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
 #: Letters whose lower case and composition are beyond doubt, then marks that never join them.
 _PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?()%*#$&|+=/-]*)")
+#: The normalizer and the pre-tokenizer by whose rules a text's ids are those of its words in turn, and a word's those of its lower-cased letters, then of its marks.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -52,91 +55,123 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds(dict):
-    """Ids by white-space separated word, as bytes.
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer's description has the rules that WordIds builds upon; its added tokens are kept apart by their marks."""
+    rules = (spec["normalizer"] or {}).get("normalizers") == _NORMALIZER and (spec["pre_tokenizer"] or {}).get("pretokenizers") == _SPLIT
+    apart = all(not (x["lstrip"] or x["rstrip"] or x["single_word"]) and re.fullmatch(r"<\|\w+\|>", x["content"], re.ASCII) for x in spec["added_tokens"])
+    return rules and apart and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"] and spec["truncation"] is None
+
+
+@functools.cache
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the others from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = sorted({*range(256)} - shown)
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
+
+
+@functools.cache
+def _tokenizer(path: str):
+    """The tokenizer and whether it goes by words; one for each worker process."""
+    # A task has one core; the library's own threads would only spin.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    return found, by_words(json.loads(found.to_str()))
+
+
+class WordIds:
+    """Ids of texts, by way of their distinct words.
 
-    The tokenizer splits at white space before it merges, so a text's ids are
-    those of its words in turn; a word is encoded once for each worker. A word
-    that is letters and then marks has the ids of its lower-cased letters and of
-    its marks. New letter words are encoded many at a time: each is one token
-    run, whose end the vocabulary's suffix shows.
+    Texts are split at ASCII white space and their words numbered by Arrow, so
+    that only a chunk's distinct words are tokenized; numpy lays the ids of the
+    words out as texts again. Words found twice in a chunk are remembered, at
+    most ``WORDS``, until the task ends. A tokenizer of other rules gets whole
+    texts.
     """
 
     def __init__(self, path: str):
-        # A task has one core; the library's own threads would only spin.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        if suffix:
-            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-
-    def alone(self, words: list[str]) -> None:
-        for at in range(0, len(words), 1024):
-            part = words[at : at + 1024]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[w] = array("I", e.ids).tobytes()
-
-    def together(self, words: list[str]) -> None:
-        """Words of letters alone, lower-cased."""
-        for at in range(0, len(words), 256):
-            part = words[at : at + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(part):
-                self.alone(part)
+        self.tokenizer, self.by_words = _tokenizer(path)
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def run(self, letters: str) -> bytes:
+        """Ids of one run of lower-case letters or of marks."""
+        return array("I", map(_id, self.model.tokenize(letters if letters.isascii() else letters.encode().decode("latin-1").translate(byte_letters())))).tobytes()
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        out, other = [], []
+        for w in words:
+            if w.isascii() and w.isalpha():
+                out.append(self.run(w.lower()))
                 continue
-            data, last = ids.tobytes(), 0
-            for w, e in zip(part, (4 * ends).tolist(), strict=True):
-                self[w] = data[last:e]
-                last = e
-
-    def learn(self, words: set[str]) -> None:
-        """Fill in what is not yet known of words."""
-        if len(self) > WORDS:
-            self.clear()
-        new = [w for w in words if w not in self]
-        split, other, letters = [], [], set()
-        for w in new:
             m = _PLAIN.fullmatch(w)
             if m is None:
-                other.append(w)
-            else:
-                low, marks = m[1].lower(), m[2]
-                letters.add(low)
-                if marks or low != w:
-                    split.append((w, low, marks))
-        self.together([w for w in letters if w not in self])
-        self.alone([*other, *({m for _, _, m in split if m and m not in self})])
-        for w, low, marks in split:
-            self[w] = self[low] + self[marks] if marks else self[low]
-
-    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        lists = [t.split() if not _ODD.search(t) else [w for w in re.split("[ \t\n\r]+", t) if w] for t in (t or "" for t in texts)]
-        self.learn(set().union(*lists))
-        return [np.frombuffer(b"".join(map(self.__getitem__, x)), "<u4") for x in lists]
+                other.append(len(out))
+                out.append(b"")
+                continue
+            if (marks := m[2]) and marks not in self.marks and len(self.marks) < WORDS:
+                self.marks[marks] = self.run(marks)
+            out.append(self.run(m[1].lower()) + (marks and (self.marks.get(marks) or self.run(marks)) or b""))
+        for at in range(0, len(other), 1024):
+            part = other[at : at + 1024]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([words[k] for k in part], add_special_tokens=False), strict=True):
+                out[k] = array("I", e.ids).tobytes()
+        return out
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            return [np.array(self.tokenizer.encode(t.as_py(), add_special_tokens=False).ids, "<u4") for t in texts]
+        lists = pc.ascii_split_whitespace(texts)
+        each = lists.flatten().dictionary_encode()
+        words, codes = each.dictionary.to_pylist(), each.indices.to_numpy()
+        ids = [self.known.get(w) for w in words]
+        new = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(new, self.encode([words[k] for k in new]), strict=True):
+            ids[k] = x
+        if len(self.known) > WORDS:
+            self.known.clear()
+        count = np.bincount(codes, minlength=len(words))
+        self.known.update((words[k], ids[k]) for k in new if count[k] > 1)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        start = np.cumsum(size) - size
+        flat, of = np.frombuffer(b"".join(ids), "<u4"), size[codes]
+        end = np.append(0, np.cumsum(of))
+        at = np.repeat(start[codes] - end[:-1], of) + np.arange(end[-1])
+        edge = end[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        flat = flat[at]
+        return [flat[s:e] for s, e in zip(edge, edge[1:], strict=False)]
 
     def ids(self, text: str | None) -> np.ndarray:
-        return self.batch([text])[0]
+        return self.batch(pa.array([text], pa.string()))[0]
 
 
-@functools.cache
 def word_ids(path: str) -> WordIds:
-    """One for each worker process, kept between its tasks."""
     return WordIds(path)
 
 
+def chunks(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of whole texts of about ``most`` bytes, with their places."""
+    size = np.cumsum(np.append(0, pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(size, size[at] + most)))
+        yield at, texts.slice(at, end - at)
+        at = end
+
+
 def token_pieces(docs: DataFrame, path: str, cap: int = 2048, end_id: int = 0) -> DataFrame:
     """A row per piece of each document's ids and the closing id: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(path)
+        words = WordIds(path)
         for b in batches:
             out: list[tuple] = []
-            docs, texts = b.column(0).to_pylist(), b.column(1)
-            for doc, own in ((d, x) for at in range(0, len(docs), 64) for d, x in zip(docs[at : at + 64], words.batch(texts.slice(at, 64).to_pylist()), strict=True)):
+            docs = b.column(0).to_pylist()
+            for doc, own in ((d, x) for at, texts in chunks(b.column(1)) for d, x in zip(docs[at : at + len(texts)], words.batch(texts), strict=True)):
                 ids = np.append(own, np.uint32(end_id)).astype("<u4")
                 out += [(doc, k, s, len(x := ids[s : s + cap]), zlib.crc32(x.tobytes())) for k, s in enumerate(range(0, len(ids), cap))]
             if out:
