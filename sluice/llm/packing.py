@@ -36,10 +36,6 @@ GROUP = 65_536
 #: Repeated words whose ids a task remembers, some 200 bytes each, and bytes of text that it tokenizes at a time.
 WORDS, CHUNK = 100_000, 4 << 20
 
-#: Failing targets in a row after which the local search rests.
-PATIENCE = 64
-#: Exchanges of a group's local search at most: it bounds time, never what is packed.
-STEPS = 4000
 _id = operator.attrgetter("id")
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Letters whose lower case and composition are beyond doubt, then marks that never join them.
@@ -207,13 +203,12 @@ def best_fit(lengths: list[int], cap: int) -> list[list[int]]:
 def swap_search(bins: list[list[int]], lengths: list[int], cap: int) -> list[list[int]]:
     """Local search over the underfull bins: move, one-for-one, two-for-one, each raising squared fill.
 
-    Bins are emptied from the least full on. Stops at the least possible number
-    of bins, after PATIENCE bins in a row from which nothing could go, or after
-    STEPS exchanges.
+    Bins are emptied from the least full on, round after round, until the
+    number of bins is the least possible or a round finds no step.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     least = -(-sum(fill) // cap)
-    left, steps, failed = sum(1 for b in bins if b), 0, 0
+    left = sum(1 for b in bins if b)
     # By length, what the underfull bins hold, by room. Length 0: nothing, for moves.
     held: dict[int, list[tuple[int, int, int]]] = {}
 
@@ -237,27 +232,29 @@ def swap_search(bins: list[list[int]], lengths: list[int], cap: int) -> list[lis
         return [b for b in bins if b]
     for a in range(len(bins)):
         enter(a)
-    for t in sorted((a for a in range(len(bins)) if bins[a] and fill[a] < cap), key=lambda a: fill[a]):
-        if left <= least or failed >= PATIENCE or steps >= STEPS:
-            break
-        leave(t)
+    moved = True
+    while moved and left > least:
         moved = False
-        while bins[t] and steps < STEPS and (step := _step(bins[t], lengths, held, cap, fill[t])):
-            a, give, take = step
-            leave(a)
-            for i in give:
-                bins[t].remove(i)
-            for i in take:
-                bins[a].remove(i)
-            bins[a] += give
-            bins[t] += take
-            d = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-            fill[a], fill[t], moved = fill[a] + d, fill[t] - d, True
-            enter(a)
-            steps += 1
-        left -= not bins[t]
-        failed = 0 if moved else failed + 1
-        enter(t)
+        for t in sorted((a for a in range(len(bins)) if bins[a] and fill[a] < cap), key=lambda a: fill[a]):
+            if left <= least:
+                break
+            if fill[t] == cap:  # filled meanwhile
+                continue
+            leave(t)
+            while bins[t] and (step := _step(bins[t], lengths, held, cap, fill[t])):
+                a, give, take = step
+                leave(a)
+                for i in give:
+                    bins[t].remove(i)
+                for i in take:
+                    bins[a].remove(i)
+                bins[a] += give
+                bins[t] += take
+                d = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
+                fill[a], fill[t], moved = fill[a] + d, fill[t] - d, True
+                enter(a)
+            left -= not bins[t]
+            enter(t)
     return [b for b in bins if b]
 
 

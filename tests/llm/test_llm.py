@@ -237,6 +237,29 @@ def test_swap_search_empties_bins():
     assert len(out) == 2 and sorted(sum(out, [])) == [0, 1, 2, 3, 4] and all(sum(lengths[i] for i in b) <= 10 for b in out)
 
 
+def test_swap_search_beats_best_fit():
+    r = random.Random(5)
+    for lo, hi in ((50, 90), (65, 76)):
+        lengths = [r.randint(lo, hi) for _ in range(2000)]
+        first = packing.best_fit(lengths, 204)
+        out = packing.swap_search([list(b) for b in first], lengths, 204)
+        assert len(out) < len(first)
+        assert sorted(sum(out, [])) == list(range(2000)) and all(sum(lengths[i] for i in b) <= 204 for b in out)
+
+
+def test_other_tokenizers_get_whole_texts():
+    import json
+    import pathlib
+
+    names = [p for p in pathlib.Path(packing.tokenizer_path()).parent.glob("*.json") if "model" in json.loads(p.read_text())]
+    texts = ["Don't stop\u2028now, 12 \t\n é\u0301 x", "", " lead and  trail ", None, "A" * 300]
+    for p in names:
+        w = packing.word_ids(str(p))
+        for t in texts:
+            assert w.ids(t).tolist() == w.tokenizer.encode(t or "", add_special_tokens=False).ids
+    assert any(not packing.word_ids(str(p)).by_words for p in names) or len(names) == 1
+
+
 def test_special_tokens_and_odd_spaces():
     w = packing.word_ids(packing.tokenizer_path())
     for t in ("a<|endoftext|>b", "x\x1cy\x85z w it's 12ab", "É ́x ΣΑΣ", ""):
