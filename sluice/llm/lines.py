@@ -5,8 +5,9 @@ and a filter of keys seen twice; task filters are merged by segment
 (once = a|b, twice = ta|tb|(a&b)), so the merged second filter holds every key
 that two documents share. Pass two: only keys that are in the second filter
 shuffle, as 128-bit digests, for exact counts and the choice of the document
-that keeps the line. The filter has a fixed, capped size: on a larger corpus
-more keys become suspects and are sorted out exactly, the result is the same.
+that keeps the line. The filters are sized by the bytes that the plan says it
+reads, up to 2 ** MOST_BITS: beyond that more keys become suspects and are
+sorted out exactly, the result is the same at any size.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Bits of each filter: 2 ** LOG_BITS (2 MB). Raise it up to 2 ** 31 on large clusters; only the number of suspects depends on it.
-LOG_BITS = 24
+#: Bits of each filter: 2 ** LOG_BITS (2 MB) at least, 2 ** MOST_BITS (64 MB) at most; only the number of suspects depends on it.
+LOG_BITS, MOST_BITS = 24, 29
 #: Parts in which filters are merged.
 SEGMENTS = 64
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -46,21 +47,38 @@ def _spots(hashes: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes >> np.uint64(64 - log_bits)).astype(np.int64), (hashes & np.uint64((1 << log_bits) - 1)).astype(np.int64)
 
 
+def filter_bits(docs: DataFrame) -> int:
+    """log2 of a filter's bits: one for every eight bytes that the plan reads, thus eight for a line of 64 bytes; a plan that does not know gets four times the least."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return LOG_BITS + 2 if size >> 60 else min(MOST_BITS, max(LOG_BITS, (size // 8).bit_length()))
+
+
+def _has(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    return (bits[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _set(bits: np.ndarray, spots: np.ndarray) -> None:
+    if len(spots):
+        spots = np.sort(spots)
+        at = np.flatnonzero(np.append(True, spots[1:] >> 3 != spots[:-1] >> 3))
+        bits[spots[at] >> 3] |= np.bitwise_or.reduceat(np.left_shift(1, 7 - (spots & 7)).astype(np.uint8), at)
+
+
 class Filters:
-    """The once-seen and twice-seen filters, as arrays of bools while they are filled."""
+    """The once-seen and twice-seen filters, as packed bits."""
 
     def __init__(self, log_bits: int):
         self.log_bits = log_bits
-        self.once = np.zeros(1 << log_bits, bool)
-        self.twice = np.zeros(1 << log_bits, bool)
+        self.once = np.zeros(1 << log_bits >> 3, np.uint8)
+        self.twice = np.zeros(1 << log_bits >> 3, np.uint8)
 
     def add(self, hashes: np.ndarray) -> None:
         """hashes: each key once for each document that holds it."""
         u, n = np.unique(hashes, return_counts=True)
         a, b = _spots(u, self.log_bits)
-        again = (n > 1) | (self.once[a] & self.once[b])
-        self.twice[a[again]] = self.twice[b[again]] = True
-        self.once[a] = self.once[b] = True
+        again = (n > 1) | (_has(self.once, a) & _has(self.once, b))
+        _set(self.twice, np.concatenate([a[again], b[again]]))
+        _set(self.once, np.concatenate([a, b]))
 
 
 def _filled(log_bits: int, least: int):
@@ -74,7 +92,7 @@ def _filled(log_bits: int, least: int):
                 any_row = True
                 f.add(np.array(hashes, np.uint64))
         if any_row:
-            pack = lambda x: [zlib.compress(p.tobytes(), 1) for p in np.split(np.packbits(x), SEGMENTS)]
+            pack = lambda x: [zlib.compress(p.tobytes(), 1) for p in np.split(x, SEGMENTS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array(pack(f.once), pa.binary()), pa.array(pack(f.twice), pa.binary())], names=["segment", "once", "twice"])
 
     return fill
@@ -114,17 +132,13 @@ def twice_seen(docs: DataFrame, least: int = 20, log_bits: int = LOG_BITS) -> np
     return bits
 
 
-def repeated_lines(docs: DataFrame, least: int = 20, copies: int = 3, log_bits: int = LOG_BITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, least: int = 20, copies: int = 3, log_bits: int | None = None) -> DataFrame:
     """Confirmed keys and where they go: doc_id, keys (digests whose lines that document loses)."""
-    spark = docs.sparkSession
+    spark, log_bits = docs.sparkSession, log_bits or filter_bits(docs)
     seen = spark.sparkContext.broadcast(twice_seen(docs, least, log_bits).tobytes())
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(seen.value, np.uint8)
-
-        def has(spots: np.ndarray) -> np.ndarray:
-            return (bits[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8)) & 1 == 1
-
         for b in batches:
             ids, keys = [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -133,11 +147,11 @@ def repeated_lines(docs: DataFrame, least: int = 20, copies: int = 3, log_bits:
                 ids += [doc] * len(own)
             if keys:
                 x, y = _spots(np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64), log_bits)
-                at = np.flatnonzero(has(x) & has(y))
+                at = np.flatnonzero(_has(bits, x) & _has(bits, y))
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([digest(keys[i]) for i in at], pa.binary())], names=["doc_id", "key"])
 
     found = stored(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(suspects, "doc_id bigint, key binary"), "line-suspects")
-    confirmed = stored(found.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= copies).select("key", "keeper"), "line-keys")
+    confirmed = stored(found.groupBy("key", "doc_id").agg(F.lit(1).alias("_")).groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= copies).select("key", "keeper"), "line-keys")
     lost = found.join(confirmed, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
@@ -146,13 +160,13 @@ def digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def dedup_lines(docs: DataFrame, least: int = 20, copies: int = 3, log_bits: int = LOG_BITS, also: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 20, copies: int = 3, log_bits: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_dropped, text (the lines that stay, joined) and the columns ``also``, for every row of docs.
 
-    Null and empty texts are one empty line. Rows that share a doc_id count as
-    one holder each and are treated alike; among documents with a null doc_id
-    the largest other doc_id keeps the line. The set of keys that a document
-    loses is no larger than its own number of lines.
+    Null and empty texts are one empty line. Rows that share a doc_id are one
+    document and are treated alike; rows without a doc_id are no documents that
+    count, and lose a line whose other holders suffice. The set of keys that a
+    document loses is no larger than its own number of lines.
     """
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,15 +73,15 @@ def classes(fps, radius=2):
 
 def lines(docs):
     key = lambda x: lower(re.sub(r"^[ \t-\r]+|[ \t-\r]+$", "", x))
-    holders = collections.defaultdict(list)
+    holders = collections.defaultdict(set)  # documents are told apart by their ids
     for d, t in docs:
         for k in {key(x) for x in (t or "").split("\n")}:
-            if len(k) >= 20:
-                holders[k].append(d)
+            if len(k) >= 20 and d is not None:
+                holders[k].add(d)
     out = []
     for d, t in docs:
         all_lines = (t or "").split("\n")
-        stay = [x for x in all_lines if not (len(h := holders.get(key(x), [])) >= 3 and max(i for i in h if i is not None) != d)]
+        stay = [x for x in all_lines if not (len(h := holders.get(key(x), ())) >= 3 and max(h) != d)]
         out.append((d, len(all_lines), len(all_lines) - len(stay), sha("\n".join(stay))))
     return out
 

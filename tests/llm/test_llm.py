@@ -206,6 +206,25 @@ def test_op8(spark, dir_, hot, monkeypatch):
     same(queries.op8_suffix_dedup(spark, dir_).collect(), brute.repeats(DOCS))
 
 
+def test_op3_counts_documents_not_rows(spark):
+    line = "a line that is long enough to count"
+    rows = [(1, line), (1, line), (2, line), (None, line), (3, "another line that is long enough"), (4, "another line that is long enough"), (None, "another line that is long enough"), (5, "ANOTHER line that is long enough ")]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect()
+    same(got, brute.lines(rows))
+    assert sum(r["n_dropped"] for r in got) == 3
+
+
+def test_filter_size_follows_the_input(spark, dir_):
+    assert lines.filter_bits(spark.read.parquet(f"{dir_}/documents.parquet")) == lines.LOG_BITS
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(0, 2**63, 5000, dtype=np.uint64)
+    f = lines.Filters(16)
+    f.add(hashes[:4000])
+    f.add(hashes[3000:])
+    assert all((lines._has(f.once, x)).all() for x in lines._spots(hashes, 16))
+    assert all((lines._has(f.twice, x)).all() for x in lines._spots(hashes[3000:4000], 16))
+
+
 def test_loser_tree():
     r = random.Random(1)
     for k in (1, 2, 3, 8, 13):
