@@ -1,20 +1,26 @@
 """Removal of repeated passages by a distributed, common-prefix-aware suffix sort.
 
-Which suffixes. A string of ``length`` bytes holds ``length/2 + 1`` windows of
-``length/2`` bytes; the one of least hash is its anchor, and equal strings have
-their anchors at equal places. So only suffixes at anchors are sorted, about one
-in a hundred bytes, and of those only anchors whose window occurs twice.
+Two lengths. Strings of ``length`` bytes that start again elsewhere are removed.
+Shorter repeats, of ``passage`` bytes, come from the same sort and are only
+counted, where they run over more than ``words`` words.
+
+Which suffixes. A string of ``passage`` bytes holds windows of half as many; the
+one of least hash is its anchor, and equal strings have their anchors at equal
+places. So only suffixes at anchors are sorted, about one in fifty bytes, and of
+those only anchors whose window occurs twice. A longer string has the anchor of
+its first ``passage`` bytes.
 
 Sort. A task sorts its suffixes (cut at ``length`` bytes) into runs, front-codes
 them (common prefix with the suffix before, and the rest) and sends each run to
-the partition of its first ``length/2`` bytes. There a loser tree merges the
-runs: every entry carries its common prefix with the last output, entries with
-different prefixes are decided by those numbers alone, and equal ones are
-compared from there on, so that no known prefix is compared again.
+the partition of its window. There a loser tree merges the runs: every entry
+carries its common prefix with the last output, entries with different prefixes
+are decided by those numbers alone, and equal ones are compared from there on,
+so that no known prefix is compared again.
 
 Repeats. In the merged order, suffixes that share their first ``length - o``
 bytes are neighbours. For each shift o, those that also share the o bytes to
-their left start the same string o bytes earlier: it is removed in all of them.
+their left, by a sort of the left sides, start the same string o bytes earlier:
+it is removed in all of them.
 
 Documents with equal bytes are one text; they repeat each other from end to end.
 A window that more than ``HOT`` texts hold is settled by counting digests of its
@@ -152,9 +158,8 @@ def front_code(sorted_suffixes: list[bytes]) -> list[tuple[int, bytes]]:
 _RUNS = "target int, lcp binary, size binary, rest binary, left_size binary, left_bytes binary, digest binary, pos binary"
 
 
-def _run_rows(length: int, targets: int):
+def _run_rows(length: int, k: int, targets: int):
     """Rows of texts (digest, text, pos) into front-coded sorted runs, one row for each run and target."""
-    k = length // 2
 
     def flush(recs: list[tuple]) -> pa.RecordBatch:
         recs.sort()
@@ -188,54 +193,61 @@ def _run_rows(length: int, targets: int):
     return run
 
 
+def left_order(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows of bytes, and in it how many first bytes a row shares with the one before."""
+    m, k = left.shape
+    padded = np.zeros((m, -(-k // 8) * 8), np.uint8)
+    padded[:, :k] = left
+    order = np.lexsort(padded.view(">u8").T[::-1])
+    rows = left[order]
+    differ = rows[1:] != rows[:-1]
+    return order, np.append(0, np.where(differ.any(1), differ.argmax(1), k))
+
+
 def shared_starts(lcp: np.ndarray, right: np.ndarray, left: np.ndarray, have: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of shifts (members, firsts, lasts) for which a string that starts that many bytes before the suffix occurs twice.
 
     lcp: with the suffix before, in sorted order; right: suffix lengths; left:
     bytes before each, nearest first; have: how many there are.
     """
-    m = len(lcp)
+    m, k = left.shape
     since = np.full(m, -1)
-    hashed = np.zeros(m, np.uint64)
-    k = left.shape[1]
-    with np.errstate(over="ignore"):
-        factor = np.uint64(1)
-        for o in range(k + 1):
-            if o:
-                factor *= _B
-                hashed = hashed + (left[:, o - 1].astype(np.uint64) + np.uint64(1)) * factor
-            group = np.cumsum(lcp < length - o)
-            ok = np.flatnonzero((have >= o) & (right >= length - o))
-            twice = np.zeros(m, bool)
-            if len(ok):
-                g = group[ok]
-                # Alone in its group: no partner.
-                near = np.zeros(len(ok), bool)
-                near[1:] |= g[1:] == g[:-1]
-                near[:-1] |= g[1:] == g[:-1]
-                ok, g = ok[near], g[near]
-                key = hashed[ok] ^ (g.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-                order = np.argsort(key, kind="stable")
-                same = key[order][1:] == key[order][:-1]
-                hit = np.zeros(len(ok), bool)
-                hit[1:] |= same
-                hit[:-1] |= same
-                twice[ok[order[hit]]] = True
-            end = np.flatnonzero(~twice & (since >= 0))
-            if len(end):
-                yield end, since[end], np.full(len(end), o - 1)
-            since[end] = -1
-            since[twice & (since < 0)] = o
+    order, shared = left_order(left)
+    side = np.zeros(m, np.int64)
+    for o in range(k + 1):
+        side[order] = np.cumsum(shared < o)
+        group = np.cumsum(lcp < length - o)
+        ok = np.flatnonzero((have >= o) & (right >= length - o))
+        twice = np.zeros(m, bool)
+        if len(ok):
+            g = group[ok]
+            # Alone in its group: no partner.
+            near = np.zeros(len(ok), bool)
+            near[1:] |= g[1:] == g[:-1]
+            near[:-1] |= g[1:] == g[:-1]
+            ok, g = ok[near], g[near]
+            key = g * (m + 1) + side[ok]
+            by = np.argsort(key, kind="stable")
+            same = key[by][1:] == key[by][:-1]
+            hit = np.zeros(len(ok), bool)
+            hit[1:] |= same
+            hit[:-1] |= same
+            twice[ok[by[hit]]] = True
+        end = np.flatnonzero(~twice & (since >= 0))
+        if len(end):
+            yield end, since[end], np.full(len(end), o - 1)
+        since[end] = -1
+        since[twice & (since < 0)] = o
     end = np.flatnonzero(since >= 0)
     if len(end):
         yield end, since[end], np.full(len(end), k)
 
 
-_SPANS = "digest binary, s int, e int"
+_SPANS = "digest binary, s int, e int, long boolean"
 
 
-def _merged(length: int):
-    k = length // 2
+def _merged(length: int, passage: int):
+    k = passage // 2
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runs, lefts, digests, places = [], [], [], []
@@ -263,24 +275,26 @@ def _merged(length: int):
             names.append(digests[q][20 * at : 20 * at + 20])
             last = i
         assert last == total - 1
-        parts = list(shared_starts(lcps, right, left, have, length))
-        if parts:
-            who, first, end = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pd.DataFrame({"digest": [names[i] for i in who], "s": (pos[who] - end).astype(np.int32), "e": (pos[who] - first + length).astype(np.int32)})
+        for size in sorted({length, passage}):
+            parts = list(shared_starts(lcps, right, left, have, size))
+            if parts:
+                who, first, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pd.DataFrame({"digest": [names[i] for i in who], "s": (pos[who] - end).astype(np.int32), "e": (pos[who] - first + size).astype(np.int32), "long": size == length})
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
-    """digest (SHA-1 of a text), s, e: byte ranges of strings of ``length`` bytes that start again elsewhere among different texts or in the same one. Ranges may overlap."""
-    k = length // 2
+def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT, *, passage: int | None = None) -> DataFrame:
+    """digest (SHA-1 of a text), s, e, long: byte ranges of strings that start again elsewhere among different texts or in the same one; long: of ``length`` bytes, else of ``passage`` (half of it if not given). Ranges may overlap."""
+    passage = min(passage or length // 2, length)
+    k = passage // 2
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [anchors(t.as_py().encode("utf-8", "surrogatepass"), length) for t in b.column(1)]
+            got = [anchors(t.as_py().encode("utf-8", "surrogatepass"), passage) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int64()))], names=["digest", "pos", "hash"])
 
-    texts = docs.where(F.octet_length("text") >= length).select(F.unhex(F.sha1("text")).alias("digest"), "text")
+    texts = docs.where(F.octet_length("text") >= passage).select(F.unhex(F.sha1("text")).alias("digest"), "text")
     own = texts.mapInArrow(found, "digest binary, pos array<int>, hash array<bigint>")
     own = stored(own.groupBy("digest").agg(F.first("pos").alias("pos"), F.first("hash").alias("hash")), "anchors")
     each = own.select("digest", F.explode(F.arrays_zip("pos", "hash")).alias("x")).select("digest", "x.pos", "x.hash")
@@ -294,8 +308,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     plain, full = cands.where("not hot").select("digest", "pos"), cands.where("hot").select("digest", "pos")
     n = plain.agg(F.sum(F.size("pos"))).first()[0] or 0
     targets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // MERGE))
-    runs = with_text(plain).mapInArrow(_run_rows(length, targets), _RUNS)
-    spans = runs.repartitionById(targets, F.col("target")).mapInPandas(_merged(length), _SPANS)
+    runs = with_text(plain).mapInArrow(_run_rows(length, k, targets), _RUNS)
+    spans = runs.repartitionById(targets, F.col("target")).mapInPandas(_merged(length, passage), _SPANS)
     if full.isEmpty():
         return spans
 
@@ -303,47 +317,66 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
         for b in batches:
             for digest, text, pos in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
-                starts = sorted({p for a in pos.as_py() for p in range(max(0, a - k), min(a, len(data) - length) + 1)})
-                for at in range(0, len(starts), 4096):
-                    part = starts[at : at + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(data[p : p + length], digest_size=16).digest() for p in part], pa.binary()), pa.array([digest] * len(part), pa.binary()), pa.array(part, pa.int32())], names=["string", "digest", "s"])
+                for size in {length, passage}:
+                    starts = sorted({p for a in pos.as_py() for p in range(max(0, a - k), min(a, len(data) - size) + 1)})
+                    for at in range(0, len(starts), 4096):
+                        part = starts[at : at + 4096]
+                        yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(data[p : p + size], digest_size=16).digest() for p in part], pa.binary()), pa.array([digest] * len(part), pa.binary()), pa.array(part, pa.int32()), pa.array([p + size for p in part], pa.int32()), pa.array([size == length] * len(part), pa.bool_())], names=["string", "digest", "s", "e", "long"])
 
-    rows = stored(with_text(full).mapInArrow(strings, "string binary, digest binary, s int"), "strings")
+    rows = stored(with_text(full).mapInArrow(strings, "string binary, digest binary, s int, e int, long boolean"), "strings")
     again = stored(rows.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string"), "strings-again")
-    return spans.unionAll(rows.join(again, "string").select("digest", "s", (F.col("s") + length).alias("e")))
+    return spans.unionAll(rows.join(again, "string").select("digest", "s", "e", "long"))
+
+
+def _joined(spans: Iterator[tuple[int, int]]) -> list[list[int]]:
+    runs: list[list[int]] = []
+    for s, e in sorted(spans):
+        if runs and s <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], e)
+        else:
+            runs.append([s, e])
+    return runs
+
+
+def whole_words(data: bytes, s: int, e: int) -> int:
+    """Words of data that lie within s and e, not cut at either end."""
+    cut = (s > 0 and not data[s - 1 : s].isspace() and not data[s : s + 1].isspace()) + (e < len(data) and not data[e - 1 : e].isspace() and not data[e : e + 1].isspace())
+    return max(0, len(data[s:e].split()) - cut)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """For every row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay).
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int | None = None, words: int = 50) -> DataFrame:
+    """For every row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay), n_passages.
 
     Null text is empty. Rows with equal texts of ``length`` bytes or more (a
     repeated row too) lose all of it, as each string starts again in the other;
-    shorter texts lose nothing. kept may split a character.
+    shorter texts lose nothing. kept may split a character. n_passages counts
+    the runs of more than ``words`` words, made of strings of ``passage`` bytes
+    that start again elsewhere (half of ``length`` if not given); nothing is
+    removed for them.
     """
+    passage = min(passage or length // 2, length)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sha = F.unhex(F.sha1("text"))
-    copies = docs.where(F.octet_length("text") >= length).groupBy(sha.alias("digest")).agg(F.count("*").alias("n")).where("n > 1").select("digest", F.lit(True).alias("copied"))
-    spans = repeated_spans(docs, length).groupBy("digest").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    copies = docs.where(F.octet_length("text") >= passage).groupBy(sha.alias("digest")).agg(F.count("*").alias("n")).where("n > 1").select("digest", F.lit(True).alias("copied"))
+    spans = repeated_spans(docs, length, passage=passage).groupBy("digest").agg(F.collect_set(F.struct("s", "e", "long")).alias("spans"))
     lost = stored(copies.join(spans, "digest", "full_outer").select("digest", F.coalesce("copied", F.lit(False)).alias("copied"), "spans"), "repeats")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_bytes, n_removed, n_spans, kept = [], [], [], []
+            n_bytes, n_removed, n_spans, kept, n_passages = [], [], [], [], []
             for text, copied, spans in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
-                runs: list[list[int]] = [[0, len(data)]] if copied else []
-                for x in [] if copied else sorted((x["s"], x["e"]) for x in spans or ()):
-                    if runs and x[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], x[1])
-                    else:
-                        runs.append([*x])
+                whole = [(0, len(data))] if copied else []
+                runs = _joined(whole if len(data) >= length else ()) if copied else _joined((x["s"], x["e"]) for x in spans or () if x["long"])
+                again = whole if copied else _joined((x["s"], x["e"]) for x in spans or ())
                 edges = [0, *[y for x in runs for y in x], len(data)]
                 stay = b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True))
                 n_bytes.append(len(data))
                 n_removed.append(len(data) - len(stay))
                 n_spans.append(len(runs))
                 kept.append(stay)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)], pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                n_passages.append(sum(whole_words(data, s, e) > words for s, e in again))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)], pa.array(kept, pa.binary()), pa.array(n_passages, pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_passages"])
 
     both = docs.withColumn("digest", sha).join(lost, "digest", "left").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "copied", "spans")
-    return both.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return both.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, n_passages bigint")

@@ -154,6 +154,22 @@ def repeats(docs, length=400):
     return out
 
 
+def passages(docs, size=200, words=50):
+    """Runs of more than 50 whole words in bytes that stand elsewhere in strings of 200."""
+    data = [(d, (t or "").encode()) for d, t in docs]
+    c = collections.Counter(b[p : p + size] for _, b in data for p in range(len(b) - size + 1))
+    out = []
+    for d, b in data:
+        again = np.zeros(len(b) + 2, bool)
+        for p in range(len(b) - size + 1):
+            if c[b[p : p + size]] > 1:
+                again[p + 1 : p + size + 1] = True
+        edges = np.flatnonzero(again[1:] != again[:-1]).tolist()
+        n = sum(sum(s <= m.start() and m.end() <= e for m in re.finditer(rb"[^ \t-\r]+", b)) > words for s, e in zip(edges[::2], edges[1::2], strict=True))
+        out.append((d, n))
+    return out
+
+
 def pieces(docs, path, cap=2048):
     from tokenizers import Tokenizer
 
