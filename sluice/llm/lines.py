@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import frugal, stored
 
 #: Bits of each filter: 2 ** LOG_BITS (2 MB) at least, 2 ** MOST_BITS (64 MB) at most; only the number of suspects depends on it.
 LOG_BITS, MOST_BITS = 24, 29
@@ -122,9 +122,9 @@ def twice_seen(docs: DataFrame, least: int = 20, log_bits: int = LOG_BITS) -> np
     most as many parts as the first round's dealing.
     """
     schema = "segment int, once binary, twice binary"
-    parts = docs.select("doc_id", "text").mapInArrow(_filled(log_bits, least), schema).withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(32)))
-    first = parts.repartition(F.col("segment"), F.col("deal")).sortWithinPartitions("segment").select("segment", "once", "twice").mapInPandas(_merge, schema)
-    merged = first.repartition(F.col("segment")).sortWithinPartitions("segment").mapInPandas(_merge, schema)
+    parts = docs.select("doc_id", "text").mapInArrow(frugal(_filled(log_bits, least)), schema).withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(32)))
+    first = parts.repartition(F.col("segment"), F.col("deal")).sortWithinPartitions("segment").select("segment", "once", "twice").mapInPandas(frugal(_merge), schema)
+    merged = first.repartition(F.col("segment")).sortWithinPartitions("segment").mapInPandas(frugal(_merge), schema)
     bits = np.zeros(1 << log_bits >> 3, np.uint8)
     each = len(bits) // SEGMENTS
     for r in merged.select("segment", "twice").toLocalIterator():
@@ -150,7 +150,7 @@ def repeated_lines(docs: DataFrame, least: int = 20, copies: int = 3, log_bits:
                 at = np.flatnonzero(_has(bits, x) & _has(bits, y))
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([digest(keys[i]) for i in at], pa.binary())], names=["doc_id", "key"])
 
-    found = stored(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(suspects, "doc_id bigint, key binary"), "line-suspects")
+    found = stored(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(frugal(suspects), "doc_id bigint, key binary"), "line-suspects")
     confirmed = stored(found.groupBy("key", "doc_id").agg(F.lit(1).alias("_")).groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= copies).select("key", "keeper"), "line-keys")
     lost = found.join(confirmed, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
@@ -192,4 +192,4 @@ def dedup_lines(docs: DataFrame, least: int = 20, copies: int = 3, log_bits: int
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for c in also for f in own.schema.fields if f.name == c)
     lost = stored(repeated_lines(docs, least, copies, log_bits), "line-lost")
     both = own.alias("l").join(lost.hint("merge").alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), "left").select("l.doc_id", "l.text", "r.keys", *[f"l.{c}" for c in also])
-    return both.mapInArrow(drop, "doc_id bigint, n_lines bigint, n_dropped bigint, text string" + more)
+    return both.mapInArrow(frugal(drop), "doc_id bigint, n_lines bigint, n_dropped bigint, text string" + more)

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import frugal, stored
 
 #: Pieces in a packing group, about.
 GROUP = 65_536
@@ -174,7 +174,7 @@ def token_pieces(docs: DataFrame, path: str, cap: int = 2048, end_id: int = 0) -
                 d, k, s, n, c = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(frugal(cut), PIECES)
 
 
 def best_fit(lengths: list[int], cap: int) -> list[list[int]]:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 #: Labelled documents that fit() reads at most, and features that it keeps.
 SAMPLE = 8000
 TERMS = 400
@@ -122,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     total = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not total.get(0) or not total.get(1):
         return None
-    counts = rows.mapInArrow(tokens, "y int, term string").groupBy("term").agg(F.sum((F.col("y") == 1).cast("long")).alias("p"), F.sum((F.col("y") == 0).cast("long")).alias("n")).where("p + n >= 4")
+    counts = rows.mapInArrow(frugal(tokens), "y int, term string").groupBy("term").agg(F.sum((F.col("y") == 1).cast("long")).alias("p"), F.sum((F.col("y") == 0).cast("long")).alias("n")).where("p + n >= 4")
     # Signed chi: how far a term's toxic count is from what its frequency makes one expect.
     share = total[1] / (total[0] + total[1])
     off = F.abs(F.col("p") - (F.col("p") + F.col("n")) * share) / F.sqrt((F.col("p") + F.col("n")) * share)
@@ -139,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
                 cats.append([int(bool(own & s)) for s in seeds.values()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(cats, pa.list_(pa.int32()))], names=["doc_id", "y", "at", "cats"])
 
-    got = rows.mapInArrow(vectors, "doc_id bigint, y int, at array<int>, cats array<int>").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    got = rows.mapInArrow(frugal(vectors), "doc_id bigint, y int, at array<int>, cats array<int>").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     x = np.zeros((len(got), len(kept)))
     for i, r in enumerate(got):
         x[i, r["at"]] = 1
@@ -166,4 +168,4 @@ def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
                 toxic = p[:, -1] > (chain.threshold if chain else 1)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(p[:, k]) for k in range(len(CHAIN))], pa.array(toxic)], names=["doc_id", *[f"p_{c}" for c in CHAIN], "toxic"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(frugal(run), schema)
