@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, stored
+from .common import frugal, sized, stored
 from .components import components
 
 #: Members of a bucket beyond which it is cut further.
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             fp = np.array([fingerprint(shingle_hashes(t.as_py(), size)) for t in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(frugal(run), "doc_id bigint, fp bigint")
 
 
 def _thirds(bits: list[int]) -> list[list[int]]:
@@ -218,19 +218,22 @@ def links(distinct: DataFrame, radius: int = 2, hot: int = HOT) -> DataFrame:
     deep = keyed(near.join(large.select("mask", "part"), ["mask", "part"], "left_semi").select("fp", "rep").distinct(), 4)
     shared = shared.select("mask", "part", "fp", "rep").unionAll(deep.select("mask", "part", "fp", "rep"))
     dealt = shared.repartition(F.col("mask"), F.col("part")).sortWithinPartitions("mask", "part", "rep")
-    return dealt.mapInPandas(_linked(radius), "a bigint, b bigint").distinct()
+    return dealt.mapInPandas(frugal(_linked(radius)), "a bigint, b bigint").distinct()
 
 
 def near_classes(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fp, component (smallest doc_id reachable over fingerprints that differ in at most ``radius`` bits).
 
     A null text has no words and fingerprint zero; equal fingerprints are
-    linked. Null doc_ids keep their row and count in no class's smallest id.
+    linked. Rows without a doc_id link like any other, so that they can bridge
+    two documents, but count in no class's smallest id; a class of such rows
+    alone has none.
     """
     own = stored(fingerprints(docs, size), "fingerprints")
-    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    found = components(links(distinct.where("rep is not null"), radius))
-    classes = stored(distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component")), "fingerprint-classes")
+    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    found = components(links(distinct.select("fp", F.col("fp").alias("rep")), radius))
+    rooted = stored(distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "fingerprint-roots")
+    classes = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("fp", "component")
     return own.join(classes, "fp").select("doc_id", "fp", "component")
 
 
@@ -416,7 +419,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    own = stored(rows.mapInArrow(signed, _SIGNED), "signatures")
+    own = stored(rows.mapInArrow(frugal(signed), _SIGNED), "signatures")
     members = stored(own.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "members")
 
     def shingled(ends: DataFrame) -> DataFrame:
@@ -424,7 +427,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
         ends = stored(ends.distinct(), "near-ends")
         chosen = own.join(ends, F.col("doc_id") == F.col("rep")).join(members.select("sig", F.col("rep").alias("of")), "sig").where("of = rep").select("rep", "th").distinct()
         texts = rows.join(sized(stored(chosen, "near-texts")).alias("c"), (F.col("doc_id") == F.col("rep")) & (rows["th"] == F.col("c.th"))).dropDuplicates(["rep"]).select("rep", "text")
-        return stored(texts.mapInArrow(sets, "rep bigint, set binary"), "near-sets")
+        return stored(texts.mapInArrow(frugal(sets), "rep bigint, set binary"), "near-sets")
 
     each = members.where("rep is not null").select("rep", "fp", "bands", F.posexplode("bands").alias("band", "part"))
     counts = stored(each.groupBy("band", "part").agg(F.count("*").alias("n")).where("n > 1"), "bands")
@@ -432,18 +435,18 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, radi
     piece = F.pmod(F.xxhash64("rep", "band"), F.ceil(F.col("n") / hot))
     cut = each.join(counts.where(F.col("n") > hot), ["band", "part"]).select((F.col("band") + BANDS).alias("band"), F.xxhash64("part", piece).alias("part"), "rep", "fp")
     dealt = plain.unionAll(cut).repartition(F.col("band"), F.col("part")).sortWithinPartitions("band", "part", "rep")
-    near = dealt.mapInPandas(_nearest(radius, most), "a bigint, b bigint, d bigint")
+    near = dealt.mapInPandas(frugal(_nearest(radius, most)), "a bigint, b bigint, d bigint")
     near = near.groupBy("a", "b").agg(F.min("d").alias("d")).groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "b"))), 1, most).alias("x"))
     pairs = stored(near.select("a", F.explode("x").alias("x")).select("a", "x.b"), "near-pairs")
     shingles = shingled(pairs.select(F.explode(F.array("a", "b")).alias("rep")))
     both = pairs.join(shingles.select(F.col("rep").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(shingles.select(F.col("rep").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
-    found = stored(components(stored(both.select("a", "b", "x", "y").mapInArrow(verified, "a bigint, b bigint"), "near-links")), "near-components")
+    found = stored(components(stored(both.select("a", "b", "x", "y").mapInArrow(frugal(verified), "a bigint, b bigint"), "near-links")), "near-components")
     # Buckets that hold several components yet: the rest of their candidates.
     placed = each.join(counts, ["band", "part"]).select("band", "part", "rep").join(found, F.col("rep") == F.col("node"), "left").select("band", "part", "rep", F.coalesce("component", "rep").alias("component"))
     left = stored(_blocks(placed, block), "open-members")
     shingles = shingled(left.select("rep"))
     left = left.join(shingles.hint("merge"), "rep").repartition(F.col("band"), F.col("part"), F.col("x"), F.col("y")).sortWithinPartitions("band", "part", "x", "y", "rep")
-    more = stored(left.mapInPandas(_opened(similarity), "a bigint, b bigint").distinct(), "open-links")
+    more = stored(left.mapInPandas(frugal(_opened(similarity)), "a bigint, b bigint").distinct(), "open-links")
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
     classes = stored(members.join(found, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("component")), "near-classes")
     return own.join(classes, "sig").select("doc_id", "th", "component")
