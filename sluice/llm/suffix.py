@@ -6,7 +6,7 @@ counted, where they run over more than ``words`` words.
 
 Which suffixes. A string of ``passage`` bytes holds windows of half as many; the
 one of least hash is its anchor, and equal strings have their anchors at equal
-places. So only suffixes at anchors are sorted, about one in fifty bytes, and of
+places. So only suffixes at anchors are sorted, about one in sixty bytes, and of
 those only anchors whose window occurs twice. A longer string has the anchor of
 its first ``passage`` bytes.
 
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, stored
+from .common import frugal, sized, stored
 
 #: Suffixes of a sorted run, and of a merging partition, about.
 RUN = 50_000
@@ -285,8 +285,8 @@ def _merged(length: int, passage: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT, *, passage: int | None = None) -> DataFrame:
-    """digest (SHA-1 of a text), s, e, long: byte ranges of strings that start again elsewhere among different texts or in the same one; long: of ``length`` bytes, else of ``passage`` (half of it if not given). Ranges may overlap."""
-    passage = min(passage or length // 2, length)
+    """digest (SHA-1 of a text), s, e, long: byte ranges of strings that start again elsewhere among different texts or in the same one; long: of ``length`` bytes, else of ``passage`` (five eighths of it if not given). Ranges may overlap."""
+    passage = min(passage or length * 5 // 8, length)
     k = passage // 2
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,11 +295,14 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT, *, passag
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int64()))], names=["digest", "pos", "hash"])
 
     texts = docs.where(F.octet_length("text") >= passage).select(F.unhex(F.sha1("text")).alias("digest"), "text")
-    own = texts.mapInArrow(found, "digest binary, pos array<int>, hash array<bigint>")
-    own = stored(own.groupBy("digest").agg(F.first("pos").alias("pos"), F.first("hash").alias("hash")), "anchors")
-    each = own.select("digest", F.explode(F.arrays_zip("pos", "hash")).alias("x")).select("digest", "x.pos", "x.hash")
+    own = texts.mapInArrow(frugal(found), "digest binary, pos array<int>, hash array<bigint>")
+    # A number for each text, given once and written: anchors are many, and a number is shorter than a digest.
+    own = own.groupBy("digest").agg(F.first("pos").alias("pos"), F.first("hash").alias("hash")).withColumn("no", F.monotonically_increasing_id())
+    own = stored(own, "anchors")
+    each = own.select("no", F.explode(F.arrays_zip("pos", "hash")).alias("x")).select("no", "x.pos", "x.hash")
     twice = stored(each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "anchor-hashes")
-    cands = stored(each.join(twice, "hash").groupBy("digest", (F.col("n") > hot).alias("hot")).agg(F.collect_list("pos").alias("pos")), "anchor-places")
+    places = each.join(twice, "hash").groupBy("no", (F.col("n") > hot).alias("hot")).agg(F.collect_list("pos").alias("pos"))
+    cands = stored(places.join(own.select("no", "digest"), "no").select("digest", "hot", "pos"), "anchor-places")
 
     def with_text(places: DataFrame) -> DataFrame:
         some = texts.join(sized(places.select("digest")), "digest", "left_semi").dropDuplicates(["digest"])
@@ -308,8 +311,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT, *, passag
     plain, full = cands.where("not hot").select("digest", "pos"), cands.where("hot").select("digest", "pos")
     n = plain.agg(F.sum(F.size("pos"))).first()[0] or 0
     targets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // MERGE))
-    runs = with_text(plain).mapInArrow(_run_rows(length, k, targets), _RUNS)
-    spans = runs.repartitionById(targets, F.col("target")).mapInPandas(_merged(length, passage), _SPANS)
+    runs = with_text(plain).mapInArrow(frugal(_run_rows(length, k, targets)), _RUNS)
+    spans = runs.repartitionById(targets, F.col("target")).mapInPandas(frugal(_merged(length, passage)), _SPANS)
     if full.isEmpty():
         return spans
 
@@ -323,7 +326,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT, *, passag
                         part = starts[at : at + 4096]
                         yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(data[p : p + size], digest_size=16).digest() for p in part], pa.binary()), pa.array([digest] * len(part), pa.binary()), pa.array(part, pa.int32()), pa.array([p + size for p in part], pa.int32()), pa.array([size == length] * len(part), pa.bool_())], names=["string", "digest", "s", "e", "long"])
 
-    rows = stored(with_text(full).mapInArrow(strings, "string binary, digest binary, s int, e int, long boolean"), "strings")
+    rows = stored(with_text(full).mapInArrow(frugal(strings), "string binary, digest binary, s int, e int, long boolean"), "strings")
     again = stored(rows.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string"), "strings-again")
     return spans.unionAll(rows.join(again, "string").select("digest", "s", "e", "long"))
 
@@ -351,10 +354,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, passage: int | None = Non
     repeated row too) lose all of it, as each string starts again in the other;
     shorter texts lose nothing. kept may split a character. n_passages counts
     the runs of more than ``words`` words, made of strings of ``passage`` bytes
-    that start again elsewhere (half of ``length`` if not given); nothing is
+    that start again elsewhere (five eighths of ``length`` if not given); nothing is
     removed for them.
     """
-    passage = min(passage or length // 2, length)
+    passage = min(passage or length * 5 // 8, length)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sha = F.unhex(F.sha1("text"))
     copies = docs.where(F.octet_length("text") >= passage).groupBy(sha.alias("digest")).agg(F.count("*").alias("n")).where("n > 1").select("digest", F.lit(True).alias("copied"))
@@ -379,4 +382,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, passage: int | None = Non
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)], pa.array(kept, pa.binary()), pa.array(n_passages, pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_passages"])
 
     both = docs.withColumn("digest", sha).join(lost, "digest", "left").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "copied", "spans")
-    return both.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, n_passages bigint")
+    return both.mapInArrow(frugal(cut), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, n_passages bigint")

@@ -154,8 +154,8 @@ def repeats(docs, length=400):
     return out
 
 
-def passages(docs, size=200, words=50):
-    """Runs of more than 50 whole words in bytes that stand elsewhere in strings of 200."""
+def passages(docs, size=250, words=50):
+    """Runs of more than 50 whole words in bytes that stand elsewhere in strings of 250."""
     data = [(d, (t or "").encode()) for d, t in docs]
     c = collections.Counter(b[p : p + size] for _, b in data for p in range(len(b) - size + 1))
     out = []

@@ -233,6 +233,21 @@ def test_whole_words():
     assert [suffix.whole_words(data, *x) for x in ((0, 18), (1, 18), (0, 17), (4, 7), (3, 8), (5, 6), (0, 0))] == [4, 3, 3, 1, 1, 0, 0]
 
 
+def test_rows_without_ids_bridge_fingerprints(spark, monkeypatch):
+    fps = {1: 0b0, 2: 0b1111, None: 0b11, 3: 0b111 << 40, 4: 0b1 << 60}
+    table = spark.createDataFrame([(k, v) for k, v in fps.items()] + [(None, 0b1 << 59 | 0b1111 << 20)], "doc_id bigint, fp bigint")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, size: docs)
+    got = simhash.near_classes(table).collect()
+    want = {(1, 0, 1), (2, 15, 1), (None, 3, 1), (3, 0b111 << 40, 3), (4, 1 << 60, 1), (None, 1 << 59 | 0b1111 << 20, None)}
+    assert {tuple(r) for r in got} == want
+
+
+def test_workers_give_memory_back():
+    from sluice.llm.common import frugal
+
+    assert list(frugal(lambda it: (x + 1 for x in it))(iter([1, 2]))) == [2, 3]
+
+
 def test_op3_counts_documents_not_rows(spark):
     line = "a line that is long enough to count"
     rows = [(1, line), (1, line), (2, line), (None, line), (3, "another line that is long enough"), (4, "another line that is long enough"), (None, "another line that is long enough"), (5, "ANOTHER line that is long enough ")]
