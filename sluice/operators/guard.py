@@ -77,6 +77,8 @@ class Guard:
     mark: str = "X"
     secret: bytes = b""
     seed: int = 0
+    max_matches: int | None = None
+    max_chars: int | None = None
 
     def __post_init__(self):
         if self.action not in ACTIONS:
@@ -85,8 +87,13 @@ class Guard:
             raise ValueError("tokens need a secret")
 
     def apply(self, df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-        """key, is_clean, finding_count, categories_found, findings, result and (reject) rejected. Nulls are clean."""
-        found = with_findings(df.select(key, text), self.catalog, text, require_context=self.require_context)
+        """key, status, is_clean, finding_count, categories_found, findings, result and (flag, reject) rejected. Nulls are clean.
+
+        A text that a limit of the caller's kept from being scanned to its end
+        (status truncated or too_large) is never clean and has no result.
+        """
+        found = with_findings(df.select(key, text), self.catalog, text, require_context=self.require_context, max_matches=self.max_matches, max_chars=self.max_chars)
+        whole = ~F.col("status").isin("truncated", "too_large")
 
         def stays(x: Column) -> Column:
             bound = F.lit(float(self.min_confidence))
@@ -97,16 +104,16 @@ class Guard:
                 ok = ok & (~x["matched"].rlike(glob(t)) if set(t) & set("*?[") else x["matched"] != t)
             return ok & ~x["category"].isin(list(self.allow_categories)) if self.allow_categories else ok
 
-        found = found.select(key, text, without_overlaps("findings").alias("findings"))
-        found = found.select(key, text, F.filter("findings", stays).alias("findings"))
-        out = found.select(key, text, "findings", (F.size("findings") == 0).alias("is_clean"), F.size("findings").alias("finding_count"), F.array_sort(F.array_distinct(F.transform("findings", lambda x: x["category"]))).alias("categories_found"))
+        found = found.select(key, text, "status", without_overlaps("findings").alias("findings"))
+        found = found.select(key, text, "status", F.filter("findings", stays).alias("findings"))
+        out = found.select(key, text, "status", "findings", (whole & (F.size("findings") == 0)).alias("is_clean"), F.size("findings").alias("finding_count"), F.array_sort(F.array_distinct(F.transform("findings", lambda x: x["category"]))).alias("categories_found"))
         if self.action == "redact":
-            return out.withColumn("result", spliced(F.col(text), F.col("findings"), lambda x: masked(x["matched"], self.mark)))
+            return out.withColumn("result", F.when(whole, spliced(F.col(text), F.col("findings"), lambda x: masked(x["matched"], self.mark))))
         if self.action == "tokenize":
-            return out.withColumn("result", spliced(F.col(text), F.col("findings"), lambda x: token(x["category"], x["matched"], self.secret)))
+            return out.withColumn("result", F.when(whole, spliced(F.col(text), F.col("findings"), lambda x: token(x["category"], x["matched"], self.secret))))
         if self.action == "obfuscate":
-            return out.withColumn("result", obfuscated(self.seed)(F.col(key).cast("string"), F.col(text), F.col("findings")))
-        return out.withColumn("result", F.col(text)).withColumn("rejected", F.lit(self.action == "reject") & ~F.col("is_clean"))
+            return out.withColumn("result", F.when(whole, obfuscated(self.seed)(F.col(key).cast("string"), F.col(text), F.col("findings"))))
+        return out.withColumn("result", F.when(whole, F.col(text))).withColumn("rejected", F.lit(self.action == "reject") & ~F.col("is_clean"))
 
     def vault(self, guarded: DataFrame) -> DataFrame:
         """token, original, category of every finding of apply()."""

@@ -9,7 +9,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import random
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.functions.text import edm_value, fragment_text, hmac_sha256
+from sluice.operators.spread import kept, small, spread
 
 # Fixed values.
 NUMERIC = r"\d[\d\-. ]{3,18}\d"
@@ -51,6 +51,7 @@ def edm_register(values: DataFrame, salt: bytes) -> DataFrame:
 def edm_tokens(df: DataFrame, tokenizers: tuple[str, ...] = ("numeric", "email", "word_1gram", "word_2gram", "word_3gram"), text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, token, s, e, rank (the tokenizer's place)."""
     out = None
+    df = spread(df.select(key, text))
     words = df.select(key, F.col(text).alias("_t"), placed(F.col(text), WORD).alias("_w"))
     for rank, name in enumerate(tokenizers):
         if name in ("numeric", "email"):
@@ -89,20 +90,26 @@ def shingles(text: str, k: int = 3) -> set[str]:
     return {" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
 
 
-def _affine(h: np.ndarray, a: int, b: int) -> np.ndarray:
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1, up to a small excess, without a division."""
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+
+
+def _affine(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """(a*h + b) modulo 2**61 - 1 for 32-bit h, in 64-bit words: a is split so that no product overflows."""
     p = np.uint64(PRIME)
-    hi, lo = np.uint64(a >> 29), np.uint64(a & ((1 << 29) - 1))
-    top = hi * h % p  # below 2**61; times 2**29 as a rotation of 61 bits
+    top = _folded(_folded((a >> np.uint64(29)) * h))  # below 2**61; times 2**29 as a rotation of 61 bits
     top = ((top << np.uint64(29)) & p) + (top >> np.uint64(32))
-    return (top + lo * h % p + np.uint64(b)) % p
+    out = _folded(top + (a & np.uint64((1 << 29) - 1)) * h + b)
+    return np.where(out >= p, out - p, out)
 
 
 def minhash(text: str, n: int = 128, k: int = 3, seed: int = 42) -> np.ndarray:
-    own = shingles(text, k)
-    h = np.array([struct.unpack("<I", hashlib.md5(s.encode()).digest()[:4])[0] for s in own], np.uint64)
-    a, b = hash_family(n, seed)
-    return np.array([min(int((_affine(h, int(x), int(y)) & np.uint64(MAX_HASH)).min()), MAX_HASH) for x, y in zip(a, b, strict=True)], np.int64)
+    md5 = hashlib.md5
+    h = np.frombuffer(b"".join([md5(s.encode()).digest()[:4] for s in shingles(text, k)]), "<u4").astype(np.uint64)
+    a, b = (x[:, None] for x in hash_family(n, seed))
+    least = [(_affine(h[None, at : at + 512], a, b) & np.uint64(MAX_HASH)).min(1) for at in range(0, len(h), 512)]
+    return np.minimum.reduce(least).astype(np.int64)
 
 
 def with_signature(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = 128) -> DataFrame:
@@ -113,7 +120,7 @@ def with_signature(df: DataFrame, text: str = "text", key: str = "doc_id", n: in
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([minhash(t.as_py() or "", n) for t in b.column(1)], pa.list_(pa.int64()))], names=[key, "signature"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, signature array<bigint>")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, signature array<bigint>")
 
 
 def similar(queries: DataFrame, registered: DataFrame, threshold: float = 0.8, bands: int = 16) -> DataFrame:
@@ -147,15 +154,47 @@ def windows(df: DataFrame, size: int = 50, text: str = "text", key: str = "doc_i
                     win = [hashlib.blake2b(wide[4 * p : 4 * (p + size)], digest_size=16).digest() for p in places]
                     yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(win), b.column(0).type), pa.array(places, pa.int32()), pa.array(win, pa.binary())], names=[key, "pos", "win"])
 
-    return df.select(key, fragment_text(F.col(text)).alias(text)).mapInArrow(run, f"`{key}` {kind}, pos int, win binary")
+    return spread(df.select(key, fragment_text(F.col(text)).alias(text))).mapInArrow(run, f"`{key}` {kind}, pos int, win binary")
+
+
+def window_anchors(text: str, size: int) -> np.ndarray:
+    """Hashes of a text's anchors: in each window of ``size`` characters the half as long piece of least hash, so that equal windows have equal anchors."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if len(codes) < size:
+        return np.zeros(0, np.int64)
+    piece = max(1, size // 2)
+    h = np.zeros(len(codes) - piece + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(piece):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + len(h)]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, size - piece + 1).min(1)).view(np.int64)
+
+
+def anchored(df: DataFrame, size: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, hash: the anchors of each normalised text, about a thirteenth of its places for windows of 50."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                own = [window_anchors(t.as_py() or "", size) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))), pa.array(np.concatenate(own))], names=[key, "hash"])
+
+    return spread(df.select(key, fragment_text(F.col(text)).alias(text))).mapInArrow(run, f"`{key}` {kind}, hash bigint")
 
 
 def fragments(scanned: DataFrame, registered: DataFrame, size: int = 50, min_consecutive: int = 1) -> DataFrame:
     """scan_id, doc_id, doc_position, scan_position (the first), n_consecutive: windows that a registered text shares.
 
-    Both sides: doc_id, text. Joined on a window's digest; islands of consecutive
-    places must be ``min_consecutive`` long.
+    Both sides: doc_id, text. Scanned texts that share no anchor with a registered
+    one share no window, and go first; the others are joined on each window's
+    digest. Islands of consecutive places must be ``min_consecutive`` long.
     """
+    known = kept(anchored(registered, size).select("hash").distinct(), "anchors")
+    some = kept(anchored(scanned, size).join(small(known), "hash", "left_semi").select("doc_id").distinct(), "sharing")
+    scanned = scanned.join(small(some), "doc_id", "left_semi")
     a = windows(scanned, size).select(F.col("doc_id").alias("scan_id"), F.col("pos").alias("scan_position"), "win")
     b = windows(registered, size).select("doc_id", F.col("pos").alias("doc_position"), "win")
     hits = a.join(b, "win").groupBy("scan_id", "doc_id", "doc_position").agg(F.min("scan_position").alias("scan_position"))

@@ -13,6 +13,9 @@ import functools
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from re import _constants as _c
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,19 +24,21 @@ from pyspark.sql import functions as F
 from sluice.catalog import CONTEXT_BOOST, Catalog, Pattern
 from sluice.functions.text import EXOTIC_SPACES, LEET, LOOKALIKES
 from sluice.operators.findings import without_overlaps
+from sluice.operators.spread import spread
 
 FINDING = "category string, sub_category string, matched string, span_start int, span_end int, has_context boolean, context_required boolean, confidence double, ord int"
-#: Texts of more characters are not scanned but reported.
-MAX_CHARS = 10_000_000
-MAX_MATCHES = 50_000
 FUZZY_DISTANCE, FUZZY_LENGTH = 2, 5
 
 _INVISIBLE = re.compile("[\u200b-\u200f\u2060-\u2064\ufeff\xad\u034f\u061c\u180e\ufff9-\ufffb\u202a-\u202e\u2066-\u2069\ufe00-\ufe0f\U000e0001-\U000e007f]")
 _SPACES = str.maketrans(EXOTIC_SPACES, " " * len(EXOTIC_SPACES))
 _LOOK = str.maketrans(*LOOKALIKES)
 _LEET = str.maketrans(*LEET)
+#: Characters of one byte that normalized() changes.
+_ODD_LATIN = bytes(c for c in range(256) if unicodedata.normalize("NFKC", chr(c)) != chr(c) or _INVISIBLE.match(chr(c)) or c in _SPACES or c in _LOOK)
 _WORD = re.compile(r"\b\w+\b")
-_DIGIT = re.compile("[0-9]")
+_DIGITS = re.compile(r"\d+")
+#: Width up to which an expression is sought around digits only, and what look-ahead sees beyond.
+NEAR, _MARGIN = 200, 64
 
 
 def normalized(text: str) -> tuple[str, list[int] | None]:
@@ -44,6 +49,12 @@ def normalized(text: str) -> tuple[str, list[int] | None]:
     """
     if text.isascii():
         return text, None
+    try:
+        latin = text.encode("latin-1")
+        if len(latin.translate(None, _ODD_LATIN)) == len(latin):
+            return text, None
+    except UnicodeEncodeError:
+        pass
     bare, places = text, None
     if _INVISIBLE.search(text):
         places = [i for i, c in enumerate(text) if not _INVISIBLE.match(c)]
@@ -65,33 +76,50 @@ def within(a: str, b: str, most: int) -> bool:
     return row[-1] <= most
 
 
-def needs(regex: str) -> tuple[str, bool]:
-    """What every match holds, as far as the expression's outer level shows: a literal start, a digit."""
-    if regex.startswith("(?i)"):
-        return "", False
-    outer, depth, brackets, at = "", 0, False, 0
-    while at < len(regex):
-        c = regex[at]
-        if c == "\\":
-            if not depth and not brackets:
-                outer += regex[at : at + 2]
-            at += 2
+@dataclass(frozen=True)
+class Needs:
+    """What every match of an expression holds, whatever branch it takes: a decimal digit, some literal texts; and how long it can get."""
+
+    digit: bool
+    literals: frozenset[str]
+    width: int
+
+
+def _held(items) -> tuple[bool, frozenset[str]]:
+    """digit and literal runs of a parsed sequence."""
+    digit, found, run = False, set(), ""
+    for op, arg in [*items, (None, None)]:
+        if op is _c.LITERAL:
+            run += chr(arg)
             continue
-        if brackets:
-            brackets = c != "]"
-        elif c == "[":
-            brackets = True
-            outer += "" if depth else "\0"
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-            outer += "\0" if not depth else ""
-        elif not depth:
-            outer += c
-        at += 1
-    if "|" in outer:
-        return "", False
-    start = re.match(r"(?:\\b)?([A-Za-z_-]{3,})(?![?*{])", outer)
-    return start[1] if start else "", bool(re.search(r"\\d(?![?*]|\{0)", outer))
+        if run:
+            found.add(run)
+            run = ""
+        if op is _c.IN:
+            digit |= all(k is _c.CATEGORY and v is _c.CATEGORY_DIGIT or k is _c.RANGE and 48 <= v[0] and v[1] <= 57 or k is _c.LITERAL and 48 <= v <= 57 for k, v in arg)
+        elif op is _c.SUBPATTERN:
+            if not arg[1] & re.IGNORECASE:
+                d, f = _held(arg[3])
+                digit, found = digit | d, found | f
+        elif op in (_c.MAX_REPEAT, _c.MIN_REPEAT, _c.POSSESSIVE_REPEAT) and arg[0]:
+            d, f = _held(arg[2])
+            digit, found = digit | d, found | f
+        elif op is _c.ATOMIC_GROUP:
+            d, f = _held(arg)
+            digit, found = digit | d, found | f
+        elif op is _c.BRANCH:
+            each = [_held(x) for x in arg[1]]
+            digit |= all(d for d, _ in each)
+            found |= frozenset.intersection(*[f for _, f in each])
+    return digit or any(c.isdigit() for f in found for c in f), frozenset(found)
+
+
+def needs(regex: str) -> Needs:
+    tree = _parser.parse(regex)
+    if tree.state.flags & re.IGNORECASE:
+        return Needs(_held([x for x in tree if x[0] is not _c.LITERAL])[0], frozenset(), tree.getwidth()[1])
+    digit, literals = _held(tree)
+    return Needs(digit, literals, tree.getwidth()[1])
 
 
 class Matcher:
@@ -102,7 +130,26 @@ class Matcher:
         for i, p in enumerate(catalog.patterns):
             words = re.compile("|".join(rf"\b{re.escape(k)}\b" for k in p.keywords), re.IGNORECASE) if p.keywords else None
             long = [(k.lower(), len(k.split())) for k in p.keywords if len(k) >= FUZZY_LENGTH]
-            self.rows.append((i, p, re.compile(p.regex), words, long, *needs(p.regex)))
+            need = needs(p.regex)
+            self.rows.append((i, p, re.compile(p.regex), words, long, sorted(need.literals, key=len, reverse=True), need.digit, need.width if need.digit and need.width <= NEAR else 0))
+
+    @staticmethod
+    def matches(regex: re.Pattern, text: str, width: int, digits: list[tuple[int, int]]) -> Iterator[re.Match]:
+        """All matches in order; of an expression of bounded width that needs a digit, sought only around the digits."""
+        if not width:
+            yield from regex.finditer(text)
+            return
+        last, at = 0, 0
+        while at < len(digits):
+            start, end = digits[at][0] - width, digits[at][1] + width
+            at += 1
+            while at < len(digits) and digits[at][0] - width <= end + _MARGIN:
+                end = digits[at][1] + width
+                at += 1
+            # The margin shows look-ahead what follows; whatever begins in it needs a later digit.
+            for m in regex.finditer(text, max(last, start), min(len(text), end + _MARGIN)):
+                yield m
+                last = m.end()
 
     @staticmethod
     def context(text: str, start: int, end: int, p: Pattern, words: re.Pattern | None, long: list[tuple[str, int]]) -> bool:
@@ -122,29 +169,33 @@ class Matcher:
             return bool(words.search(pre.translate(_LEET)) or words.search(post.translate(_LEET)))
         return False
 
-    def find(self, original: str, require_context: bool = False, max_matches: int = MAX_MATCHES) -> list[tuple]:
+    def find(self, original: str, require_context: bool = False, max_matches: int | None = None) -> list[tuple]:
         text, places = normalized(original)
-        digits = any(c.isdigit() for c in text) if not text.isascii() else _DIGIT.search(text) is not None
+        digits = [m.span() for m in _DIGITS.finditer(text)]
         out: list[tuple] = []
-        for i, p, regex, words, long, start, digit in self.rows:
-            if digit and not digits or start not in text:
+        for i, p, regex, words, long, literals, digit, width in self.rows:
+            if digit and not digits or any(x not in text for x in literals):
                 continue
-            for m in regex.finditer(text):
+            for m in self.matches(regex, text, width, digits):
                 if p.category == "Credit Card Numbers" and not luhn_valid(m.group()):
                     continue
                 near = self.context(text, m.start(), m.end(), p, words, long)
                 if not near and (p.context_required or require_context):
                     continue
+                if max_matches is not None and len(out) >= max_matches:
+                    raise TooMany(out)
                 s, e = m.span()
                 if places is not None:
                     s, e = (places[s] if s < len(places) else len(original)), (places[e - 1] + 1 if 0 < e <= len(places) else len(original))
                 score = round(min(1.0, p.specificity + (CONTEXT_BOOST if near else 0)), 2)
                 out.append((p.category, p.name, original[s:e], s, e, near, p.context_required, score, i))
-                if len(out) >= max_matches:
-                    return out
         return out
 
 
+class TooMany(Exception):
+    """More matches than asked for; the first ones are its argument."""
+
+
 def luhn_valid(text: str) -> bool:
     digits = [int(c) for c in text if c.isdigit()]
     if not digits:
@@ -158,8 +209,13 @@ def matcher(catalog: Catalog) -> Matcher:
     return Matcher(catalog)
 
 
-def with_findings(df: DataFrame, catalog: Catalog | None = None, text: str = "text", categories: Iterable[str] | None = None, require_context: bool = False, max_matches: int = MAX_MATCHES) -> DataFrame:
-    """df with ``findings`` (in catalogue order, overlaps included) and ``status``: ok, empty or too_large."""
+def with_findings(df: DataFrame, catalog: Catalog | None = None, text: str = "text", categories: Iterable[str] | None = None, require_context: bool = False, max_matches: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """df with ``findings`` (in catalogue order, overlaps included) and ``status``: ok, empty, truncated or too_large.
+
+    Texts are scanned whole and all their matches kept, unless the caller sets
+    a limit: a text of more than ``max_chars`` characters is too_large and has
+    no findings, one with more than ``max_matches`` is truncated to them.
+    """
     chosen = (catalog or Catalog.core()).only(categories)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", status string, findings array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>"
     columns = list(df.columns)
@@ -172,12 +228,18 @@ def with_findings(df: DataFrame, catalog: Catalog | None = None, text: str = "te
             found, status = [], []
             for t in b.column(at):
                 t = t.as_py()
-                status.append("empty" if not t else "too_large" if len(t) > MAX_CHARS else "ok")
-                found.append([dict(zip(names, x, strict=True)) for x in m.find(t, require_context, max_matches)] if status[-1] == "ok" else [])
+                status.append("empty" if not t else "too_large" if max_chars is not None and len(t) > max_chars else "ok")
+                own = []
+                if status[-1] == "ok":
+                    try:
+                        own = m.find(t, require_context, max_matches)
+                    except TooMany as x:
+                        own, status[-1] = x.args[0], "truncated"
+                found.append([dict(zip(names, x, strict=True)) for x in own])
             kind = pa.list_(pa.struct([(n, k) for n, k in zip(names, [pa.string()] * 3 + [pa.int32()] * 2 + [pa.bool_()] * 2 + [pa.float64(), pa.int32()], strict=True)]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(status), pa.array(found, kind)], names=[*columns, "status", "findings"])
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def scan(df: DataFrame, catalog: Catalog | None = None, text: str = "text", key: str = "doc_id", deduplicate: bool = True, **options) -> DataFrame:

@@ -56,5 +56,5 @@ def deliver(send: Callable[[Iterable[str]], None], kind: str = "json") -> Callab
 
 def metrics(df: DataFrame, name: str = "scan") -> DataFrame:
     """df, observed: documents, findings and those too large, for a listener to pick up."""
-    return df.observe(name, F.count("*").alias("documents"), F.sum(F.size("findings")).alias("findings"), F.count_if(F.col("status") == "too_large").alias("too_large"))
+    return df.observe(name, F.count("*").alias("documents"), F.sum(F.size("findings")).alias("findings"), F.count_if(F.col("status") == "too_large").alias("too_large"), F.count_if(F.col("status") == "truncated").alias("truncated"))
 

@@ -12,6 +12,7 @@ from sluice.operators.findings import beyond_baseline, confident
 from sluice.operators.guard import Guard, detokenized
 from sluice.operators.policy import Policy, session_alerts
 from sluice.operators.scan import scan, scan_distinct
+from sluice.operators.spread import kept
 from sluice.sources.readers import unordered_text_columns
 
 CONTACTS = {"Contact Information"}
@@ -159,7 +160,7 @@ def edm_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fiftieth document against all."""
-    own = matching.with_signature(_docs(spark, sf_dir))
+    own = kept(matching.with_signature(_docs(spark, sf_dir)), "signatures")
     return matching.similar(own.where("doc_id % 50 = 0"), own)
 
 
