@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice import sql
 from sluice.catalog import CARDS, CONTACT, Catalog
 from sluice.functions import text as fn
 from sluice.operators import matching, report, sinks, sketches
@@ -203,8 +204,7 @@ def _all(table: dict, tail: str = "") -> str:
 
 _CONTACT = _all(CONTACT)
 _CARDS = _all({"Credit Card Numbers": CARDS["Credit Card Numbers"]})
-_DIGITS = "list_transform(string_split(reverse(regexp_replace(m, '[^0-9]', '', 'g')), ''), lambda x: CAST(x AS INT))"
-_LUHN = f"(list_sum(list_transform({_DIGITS}, lambda d, i: CASE WHEN i % 2 = 1 THEN d WHEN d > 4 THEN 2 * d - 9 ELSE 2 * d END)) % 10 = 0)"
+_LUHN = sql.LUHN
 _FOUND = f"c AS ({_CONTACT}), k AS (SELECT * FROM ({_CARDS}) WHERE {_LUHN}), f AS (SELECT * FROM c UNION ALL SELECT * FROM k)"
 
 ORACLES: dict[str, str] = {
@@ -212,7 +212,6 @@ ORACLES: dict[str, str] = {
     "distinct_text_matches": f"SELECT doc_id, count(*) AS n FROM ({_CONTACT}) GROUP BY doc_id",
     "audit_trail": f"WITH c AS ({_CONTACT}) SELECT 'FLAG' AS event_type, doc_id NOT IN (SELECT doc_id FROM c) AS is_clean, count(*) AS events FROM documents GROUP BY ALL",
     "card_matches": f"WITH {_FOUND} SELECT doc_id, sub_category, count(*) AS n, string_agg(m, ';' ORDER BY m) AS matches FROM k GROUP BY ALL",
-    "compliance_frameworks": f"WITH {_FOUND} SELECT 'PCI-DSS' AS framework, NOT EXISTS (FROM k) AS passed UNION ALL SELECT 'GDPR', NOT EXISTS (FROM c) UNION ALL SELECT 'HIPAA', true UNION ALL SELECT 'SOC2', true",
     "new_findings": f"WITH c AS (SELECT f.*, source AS filename FROM ({_CONTACT}) f JOIN documents d ON d.doc_id = f.doc_id) SELECT filename, sub_category, count(*) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.doc_id % 2 = 0 AND b.filename = c.filename AND b.sub_category = c.sub_category) GROUP BY ALL",
     "batch_report": f"WITH c AS ({_CONTACT}) SELECT count(*) AS total_items, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM c)) AS clean_items, count(*) FILTER (doc_id IN (SELECT doc_id FROM c)) AS flagged_items FROM documents",
     "guard_tokenize_round_trip": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents",
@@ -237,9 +236,51 @@ i AS (SELECT *, doc_position - row_number() OVER (PARTITION BY scan_id, doc_id O
 n AS (SELECT *, count(*) OVER (PARTITION BY scan_id, doc_id, d) AS k FROM i)
 SELECT scan_id, doc_id, count(*) AS n, CAST(min(scan_position) AS INT) AS first_scan, max(k) AS longest FROM n GROUP BY scan_id, doc_id""",
     "exposure_alerts": """
-WITH k AS (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 3),
-t AS (SELECT date_trunc('day', ts) AS window_start, user_id, event_type AS category, count(*) AS n FROM events GROUP BY ALL),
+WITH t AS (SELECT date_trunc('day', ts) AS window_start, user_id, event_type AS category, count(*) AS n FROM events GROUP BY ALL),
 u AS (SELECT date_trunc('day', ts) AS window_start, user_id, count(DISTINCT event_type || ':' || props) AS n FROM events GROUP BY ALL)
-SELECT window_start, user_id, category, 'total' AS alert_type, n AS count, 1 AS "limit" FROM t WHERE category IN (FROM k) AND n > 1
-UNION ALL SELECT t.window_start, t.user_id, category, 'unique', u.n, 2 FROM t JOIN u USING (window_start, user_id) WHERE category IN (FROM k) AND u.n > 2""",
+SELECT window_start, user_id, category, 'total' AS alert_type, n AS count, 1 AS "limit" FROM t WHERE n > 1
+UNION ALL SELECT t.window_start, t.user_id, category, 'unique', u.n, 2 FROM t JOIN u USING (window_start, user_id) WHERE u.n > 2""",
+    "count_min": "SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS estimate FROM events GROUP BY ALL",
+    "distinct_users": """
+WITH h AS (SELECT event_type, substr(sha256(CAST(user_id AS VARCHAR)), 1, 16) AS h FROM events),
+v AS (SELECT event_type, CAST('0x' || array_to_string(list_transform(range(8, 0, -1), lambda i: substr(h, 2 * i - 1, 2)), '') AS UBIGINT) AS v FROM h),
+r AS (SELECT event_type, v % 16384 AS idx, max(51 - CASE WHEN v // 16384 = 0 THEN 0 ELSE length(ltrim(bin(v // 16384), '0')) END) AS rho FROM v GROUP BY ALL),
+g AS (SELECT event_type, sum(pow(2.0, -rho)) AS s, 16384 - count(*) AS free FROM r GROUP BY ALL),
+e AS (SELECT *, 0.7213 / (1 + 1.079 / 16384) * 16384.0 * 16384.0 / (s + free) AS raw FROM g)
+SELECT event_type, CAST(floor(CASE WHEN raw <= 2.5 * 16384 AND free > 0 THEN 16384 * ln(16384.0 / free) ELSE raw END + 0.5) AS BIGINT) AS estimate FROM e""",
+}
+
+_SHOWN = "CASE WHEN length(matched) > 8 THEN left(matched, 3) || '...' || right(matched, 3) ELSE '***' END"
+_ANY = f"WITH {sql.found()}, {sql.apart()}"
+_MASKED = r"regexp_replace(x.matched, '[^-. /\\_–— ]', 'X', 'g')"
+_RULE = "replace('sluice/' || category || '/' || sub_category, ' ', '-')"
+
+ORACLES |= {
+    "scan_findings": f"{_ANY} SELECT * FROM best",
+    "severity_breakdown": f"{_ANY} SELECT CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS severity, count(*) AS findings FROM best GROUP BY ALL",
+    "compliance_by_category": f"{_ANY} SELECT category, sub_category, count(*) AS findings, round(avg(confidence), 4) AS average_confidence, arg_min({_SHOWN}, (doc_id, span_start)) AS sample FROM best GROUP BY ROLLUP (category, sub_category) HAVING category IS NOT NULL",
+    "csv_report": f"{_ANY} SELECT doc_id, category, sub_category, confidence, has_context, span_start, span_end, CASE WHEN matched IS NOT NULL THEN {_SHOWN} END AS matched FROM documents LEFT JOIN best USING (doc_id)",
+    "sarif_results": f"""{_ANY} SELECT {_RULE} AS rule_id, '{{"ruleId":"' || {_RULE} || '","level":"' || CASE WHEN confidence >= 0.5 THEN 'warning' ELSE 'note' END || '","message":{{"text":"' || sub_category || ' detected"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || doc_id || '"}},"region":{{"charOffset":' || span_start || ',"charLength":' || (span_end - span_start) || '}}}}}}]}}' AS result FROM best""",
+    "guard_redact": f"{_ANY}, {sql.spliced(_MASKED)} SELECT doc_id, fs IS NULL AS is_clean, coalesce(len(fs), 0) AS finding_count, sha256(result) AS result_sha256 FROM spliced",
+    "confident_findings": f"WITH {sql.found(CONTACTS)} SELECT sub_category, count(*) AS n FROM found WHERE confidence >= 0.85 GROUP BY ALL",
+    "items_by_category": f"WITH {sql.found(CONTACTS | CREDIT)}, {sql.apart()} SELECT category, count(DISTINCT doc_id) AS items FROM best GROUP BY ALL",
+    "compliance_frameworks": f"WITH {sql.found({c for cs in report.FRAMEWORKS.values() for c in cs})}, r(framework, category) AS (VALUES {', '.join(f'({sql.quoted(f)}, {sql.quoted(c)})' for f, cs in report.FRAMEWORKS.items() for c in cs)}) SELECT framework, bool_and(category NOT IN (SELECT category FROM found)) AS passed FROM r GROUP BY ALL",
+    "scan_conversations": f"WITH talk AS (SELECT concat_ws(':', conv_id, turn) AS id, text FROM conversations), {sql.found(None, 'talk', 'id')}, {sql.apart()} SELECT * FROM best",
+    "similar_documents": f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[^\\s]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 3 THEN list_transform(range(0, greatest(1, length(t) - 11)), lambda i: substr(t, i + 1, 12)) ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS x FROM w),
+h AS (SELECT doc_id, md5(x) AS d FROM g),
+v AS (SELECT doc_id, CAST(CAST('0x' || substr(d, 7, 2) || substr(d, 5, 2) || substr(d, 3, 2) || substr(d, 1, 2) AS UINTEGER) AS HUGEINT) AS v FROM h),
+f(k, a, b) AS (VALUES {", ".join(f"({k}, CAST({a} AS HUGEINT), CAST({b} AS HUGEINT))" for k, (a, b) in enumerate(zip(*matching.hash_family(128), strict=True)))}),
+s AS (SELECT doc_id, k, min(((a * v + b) % {matching.PRIME}) % 4294967296) AS m FROM v, f GROUP BY ALL),
+z AS (SELECT doc_id, list(m ORDER BY k) AS z FROM s GROUP BY ALL),
+c AS (SELECT DISTINCT q.doc_id AS query_id, r.doc_id AS doc_id FROM (SELECT doc_id, i, z[8 * i + 1:8 * i + 8] AS p FROM z, range(16) t(i) WHERE doc_id % 50 = 0) q JOIN (SELECT doc_id, i, z[8 * i + 1:8 * i + 8] AS p FROM z, range(16) t(i)) r ON q.i = r.i AND q.p = r.p),
+e AS (SELECT query_id, c.doc_id, len(list_filter(range(1, 129), lambda i: x.z[i] = y.z[i])) / 128.0 AS similarity FROM c JOIN z x ON x.doc_id = query_id JOIN z y ON y.doc_id = c.doc_id)
+SELECT query_id, doc_id, CAST(similarity AS DOUBLE) AS similarity FROM e WHERE similarity >= 0.8""",
+    "edm_hits": rf"""
+WITH reg AS (SELECT DISTINCT {sql.hmac(SALT, "v")} AS value_hash FROM (SELECT regexp_replace(trim(lower(unnest(regexp_extract_all(text, '{_q(CONTACT["Contact Information"]["Email Address"])}')))), '[\s\-./()]+', '', 'g') AS v FROM documents) WHERE v <> ''),
+raw AS ({" UNION ALL ".join(f"SELECT {k} AS rank, doc_id, regexp_extract_all(text, '{r}') AS ms, string_split_regex(text, '{r}') AS gs FROM documents WHERE regexp_matches(text, '{r}')" for k, r in enumerate((matching.NUMERIC, matching.EMAIL)))}),
+placed AS (SELECT rank, doc_id, ms[i] AS m, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS INT) AS s FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM raw)),
+hit AS (SELECT *, {sql.hmac(SALT, "v")} AS value_hash FROM (SELECT *, regexp_replace(trim(lower(m)), '[\s\-./()]+', '', 'g') AS v FROM placed) WHERE v <> '')
+SELECT doc_id, 'mail' AS category, arg_min(value_hash, rank) AS value_hash, s AS span_start, CAST(s + length(m) AS INT) AS span_end, arg_min(m, rank) AS matched_text, CAST(1.0 AS DOUBLE) AS confidence FROM hit JOIN reg USING (value_hash) GROUP BY doc_id, s, s + length(m)""",
 }
