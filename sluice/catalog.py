@@ -339,6 +339,12 @@ class Catalog:
         names = set(categories)
         return replace(self, patterns=tuple(p for p in self.patterns if p.category in names))
 
+    def named(self, category: str, sub_category: str) -> Pattern:
+        for p in self.patterns:
+            if (p.category, p.name) == (category, sub_category):
+                return p
+        raise ValueError(f"no pattern {sub_category} in {category}")
+
     def preset(self, *names: str) -> Catalog:
         wanted = {c for n in names for c in (PRESETS["PII"] + ["Dates", "Vehicle Identification"] + [p.category for p in self.patterns if " - " in p.category] if n == "PII_STRICT" else PRESETS[n])}
         return self.only(wanted)

@@ -87,6 +87,12 @@ def entropy(content: Column) -> Column:
     return F.when(n > 0, F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
 
 
+def entropy_suspicious(bits: Column, threshold: float = 7.5, high: Column | None = None) -> Column:
+    """Whether the bits reach the threshold, or pass the format's upper bound by more than half a bit."""
+    out = bits >= threshold
+    return out if high is None else out | F.coalesce(bits > high + 0.5, F.lit(False))
+
+
 def entropy_class(bits: Column, high: Column | None = None) -> Column:
     """high: the upper bound that the file's format lets one expect."""
     out = F.when(bits >= 7.9, "likely_encrypted").when(bits >= 7.5, "compressed_or_encrypted")

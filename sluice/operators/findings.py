@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +52,36 @@ def not_allowed(df: DataFrame, texts: Iterable[str] = (), sub_categories: Iterab
     return out.where(~F.col("sub_category").isin(names)) if names else out
 
 
+def outside_paths(df: DataFrame, globs: Iterable[str], path: str = "path") -> DataFrame:
+    """Rows whose path meets none of the shell patterns."""
+    for g in globs:
+        df = df.where(~F.coalesce(F.col(path).rlike(glob(g)), F.lit(False)))
+    return df
+
+
+def ignore_rules(text: str) -> dict[str, list[str]]:
+    """An ignore file's lines by kind: ``text:``, ``sub_category:`` and ``path:`` or nothing before a path's pattern; # starts a comment."""
+    out: dict[str, list[str]] = {"text": [], "sub_category": [], "path": []}
+    for line in map(str.strip, text.splitlines()):
+        if line and not line.startswith("#"):
+            kind, colon, rest = line.partition(":")
+            out[kind if colon and kind in out else "path"].append(rest.strip() if colon and kind in out else line)
+    return out
+
+
+def ignoring(df: DataFrame, rules: Mapping[str, list[str]], path: str | None = "path") -> DataFrame:
+    """Findings that an ignore file's rules leave."""
+    df = not_allowed(df, rules.get("text", ()), rules.get("sub_category", ()))
+    return outside_paths(df, rules.get("path", ()), path) if path else df
+
+
+def processed(df: DataFrame, steps: Iterable[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Findings after each of the steps in turn."""
+    for f in steps:
+        df = f(df)
+    return df
+
+
 def without_ignored_lines(df: DataFrame, text: str, marker: str = "scan:ignore") -> DataFrame:
     """Findings whose line carries the marker go; df has text and the span."""
     before = F.substring_index(F.substring(F.col(text), F.lit(1), F.col("span_start")), "\n", -1)

@@ -5,15 +5,14 @@ from __future__ import annotations
 import random
 import string
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.catalog import Catalog
 from sluice.functions.text import glob, hmac_sha256
-from sluice.operators.findings import without_overlaps
 from sluice.operators.scan import with_findings
 
 ACTIONS = ("reject", "redact", "flag", "tokenize", "obfuscate")
@@ -79,6 +78,7 @@ class Guard:
     seed: int = 0
     max_matches: int | None = None
     max_chars: int | None = None
+    max_seconds: float | None = None
 
     def __post_init__(self):
         if self.action not in ACTIONS:
@@ -90,10 +90,10 @@ class Guard:
         """key, status, is_clean, finding_count, categories_found, findings, result and (flag, reject) rejected. Nulls are clean.
 
         A text that a limit of the caller's kept from being scanned to its end
-        (status truncated or too_large) is never clean and has no result.
+        (status truncated, timeout or too_large) is never clean and has no result.
         """
-        found = with_findings(df.select(key, text), self.catalog, text, require_context=self.require_context, max_matches=self.max_matches, max_chars=self.max_chars)
-        whole = ~F.col("status").isin("truncated", "too_large")
+        found = with_findings(df.select(key, text), self.catalog, text, require_context=self.require_context, max_matches=self.max_matches, max_chars=self.max_chars, max_seconds=self.max_seconds, apart=True)
+        whole = ~F.col("status").isin("truncated", "timeout", "too_large")
 
         def stays(x: Column) -> Column:
             bound = F.lit(float(self.min_confidence))
@@ -104,13 +104,20 @@ class Guard:
                 ok = ok & (~x["matched"].rlike(glob(t)) if set(t) & set("*?[") else x["matched"] != t)
             return ok & ~x["category"].isin(list(self.allow_categories)) if self.allow_categories else ok
 
-        found = found.select(key, text, "status", without_overlaps("findings").alias("findings"))
-        found = found.select(key, text, "status", F.filter("findings", stays).alias("findings"))
-        out = found.select(key, text, "status", "findings", (whole & (F.size("findings") == 0)).alias("is_clean"), F.size("findings").alias("finding_count"), F.array_sort(F.array_distinct(F.transform("findings", lambda x: x["category"]))).alias("categories_found"))
+        every = found.select(key, text, "status", "gaps", "findings")
+        found = every.withColumns({"all": F.col("findings"), "findings": F.filter("findings", stays)})
+
+        def changed(new) -> Column:
+            """Gaps and findings in turn, those that stay in their new form: no place is sought in the text."""
+            pairs = F.zip_with(F.slice("gaps", F.lit(1), F.size("all")), F.col("all"), lambda g, x: F.concat(g, F.when(stays(x), new(x)).otherwise(x["matched"])))
+            return F.when(whole & F.col(text).isNotNull(), F.concat(F.array_join(pairs, ""), F.coalesce(F.element_at("gaps", -1), F.lit(""))))
+
+        out = found.select(key, text, "status", "findings", "gaps", "all", (whole & (F.size("findings") == 0)).alias("is_clean"), F.size("findings").alias("finding_count"), F.array_sort(F.array_distinct(F.transform("findings", lambda x: x["category"]))).alias("categories_found"))
         if self.action == "redact":
-            return out.withColumn("result", F.when(whole, spliced(F.col(text), F.col("findings"), lambda x: masked(x["matched"], self.mark))))
+            return out.withColumn("result", changed(lambda x: masked(x["matched"], self.mark))).drop("gaps", "all")
         if self.action == "tokenize":
-            return out.withColumn("result", F.when(whole, spliced(F.col(text), F.col("findings"), lambda x: token(x["category"], x["matched"], self.secret))))
+            return out.withColumn("result", changed(lambda x: token(x["category"], x["matched"], self.secret))).drop("gaps", "all")
+        out = out.drop("gaps", "all")
         if self.action == "obfuscate":
             return out.withColumn("result", F.when(whole, obfuscated(self.seed)(F.col(key).cast("string"), F.col(text), F.col("findings"))))
         return out.withColumn("result", F.when(whole, F.col(text))).withColumn("rejected", F.lit(self.action == "reject") & ~F.col("is_clean"))
@@ -122,16 +129,45 @@ class Guard:
 
 
 def detokenized(df: DataFrame, vault: DataFrame, text: str = "text", key: str = "doc_id", prefix: str = PREFIX) -> DataFrame:
-    """key and text with the vault's tokens put back; unknown tokens stay."""
+    """key and text with the vault's tokens put back; unknown tokens stay, and so do those that stand for several values. Rows may share a key."""
     shape = rf"{prefix}_[A-Z0-9_]+_[0-9a-f]{{8}}"
-    own = df.select(key, text, F.split(text, shape).alias("gaps"), F.regexp_extract_all(text, F.lit(shape), 0).alias("toks"))
-    each = own.select(key, F.posexplode("toks").alias("i", "token"))
-    back = each.join(vault.dropDuplicates(["token"]), "token", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("original", "token").alias("v")))).alias("vs"))
-    both = own.alias("l").join(back.alias("r"), F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")), "left")
+    own = df.select(key, text, F.sha2(text, 256).alias("_h"), F.split(text, shape).alias("gaps"), F.regexp_extract_all(text, F.lit(shape), 0).alias("toks"))
+    each = own.select(key, "_h", F.posexplode("toks").alias("i", "token"))
+    back = each.join(settled_tokens(vault), "token", "left").groupBy(key, "_h").agg(F.array_sort(F.collect_set(F.struct("i", F.coalesce("original", "token").alias("v")))).alias("vs"))
+    both = own.alias("l").join(back.alias("r"), F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) & (F.col("l._h") == F.col("r._h")), "left")
     joined = F.array_join(F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.get("vs", i)["v"], F.lit("")))), "")
     return both.select(f"l.{key}", F.coalesce(joined, F.col(text)).alias(text))
 
 
+def settled_tokens(vault: DataFrame) -> DataFrame:
+    """token, original: tokens that stand for one value."""
+    return vault.groupBy("token").agg(F.min("original").alias("original"), F.max("original").alias("_most")).where(F.col("original") == F.col("_most")).drop("_most")
+
+
+def colliding_tokens(vault: DataFrame) -> DataFrame:
+    """token, originals: tokens that stand for several values."""
+    return vault.groupBy("token").agg(F.array_sort(F.collect_set("original")).alias("originals")).where(F.size("originals") > 1)
+
+
+def export_vault(vault: DataFrame, path: str) -> None:
+    """JSON lines of token, original and category."""
+    vault.select("token", "original", "category").distinct().write.mode("overwrite").json(path)
+
+
+def import_vault(spark: SparkSession, path: str, into: DataFrame | None = None) -> DataFrame:
+    """An exported vault, added to another if one is given."""
+    new = spark.read.schema("token string, original string, category string").json(path)
+    return new if into is None else into.select("token", "original", "category").unionByName(new).distinct()
+
+
+def redacted_by(df: DataFrame, category: str, sub_category: str, catalog: Catalog | None = None, mark: str = "X", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, text with every match of one expression masked, whatever stands near it and whether or not its digits check; an unknown name is an error."""
+    p = (catalog or Catalog.core()).named(category, sub_category)
+    alone = Catalog((replace(p, category="Redaction", context_required=False, keywords=()),))
+    found = with_findings(df.select(key, text), alone, text)
+    return found.select(key, spliced(F.col(text), F.col("findings"), lambda x: masked(x["matched"], mark)).alias(text))
+
+
 def fake(category: str, name: str, value: str, r: random.Random) -> str:
     """A value of the same form; cards stay valid."""
     low = name.lower()
@@ -162,10 +198,12 @@ def obfuscated(seed: int):
     def run(keys: pa.Array, texts: pa.Array, findings: pa.Array) -> pa.Array:
         out = []
         for k, t, fs in zip(keys.to_pylist(), texts.to_pylist(), findings.to_pylist(), strict=True):
-            for x in reversed(fs or []):
+            parts, at = [], 0
+            for x in fs or []:
                 r = random.Random(f"{seed}:{k}:{x['span_start']}")
-                t = t[: x["span_start"]] + fake(x["category"], x["sub_category"], x["matched"], r) + t[x["span_end"] :]
-            out.append(t)
+                parts += [t[at : x["span_start"]], fake(x["category"], x["sub_category"], x["matched"], r)]
+                at = x["span_end"]
+            out.append(t if t is None else "".join([*parts, t[at:]]))
         return pa.array(out, pa.string())
 
     return run

@@ -9,11 +9,11 @@ from __future__ import annotations
 import functools
 import hashlib
 import random
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,14 +48,35 @@ def edm_register(values: DataFrame, salt: bytes) -> DataFrame:
     return values.where(norm != "").select("category", hmac_sha256(salt, norm).alias("value_hash")).distinct()
 
 
-def edm_tokens(df: DataFrame, tokenizers: tuple[str, ...] = ("numeric", "email", "word_1gram", "word_2gram", "word_3gram"), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, token, s, e, rank (the tokenizer's place)."""
+def edm_checked(values: DataFrame, register: DataFrame, salt: bytes) -> DataFrame:
+    """values (category, value) with ``known``: whether the register has them."""
+    own = values.withColumn("value_hash", hmac_sha256(salt, edm_value(F.col("value"))))
+    return own.join(register.withColumn("known", F.lit(True)), ["category", "value_hash"], "left").select(*values.columns, F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def save_register(register: DataFrame, path: str) -> None:
+    """Hashes only; the salt is the caller's to keep."""
+    register.write.mode("overwrite").partitionBy("category").parquet(path)
+
+
+def load_register(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("value_hash string, category string").parquet(path).select("category", "value_hash")
+
+
+def registered_again(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Signatures or texts of which the new ones take the place of old ones of their ids."""
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def edm_tokens(df: DataFrame, tokenizers: tuple[str, ...] = ("numeric", "email", "word_1gram", "word_2gram", "word_3gram"), text: str = "text", key: str = "doc_id", own: Mapping[str, str] | None = None) -> DataFrame:
+    """key, token, s, e, rank (the tokenizer's place). own: further tokenizers, expressions by name."""
+    named = {"numeric": NUMERIC, "email": EMAIL, **(own or {})}
     out = None
     df = spread(df.select(key, text))
     words = df.select(key, F.col(text).alias("_t"), placed(F.col(text), WORD).alias("_w"))
     for rank, name in enumerate(tokenizers):
-        if name in ("numeric", "email"):
-            part = df.select(key, F.inline(placed(F.col(text), NUMERIC if name == "numeric" else EMAIL)))
+        if name in named:
+            part = df.select(key, F.inline(placed(F.col(text), named[name])))
         else:
             n = int(name[5])
             part = words.select(key, "_t", F.inline(F.when(F.size("_w") >= n, F.transform(F.slice("_w", F.lit(1), F.size("_w") - n + 1), lambda x, i: F.struct(x["s"].alias("s"), F.get("_w", i + (n - 1))["e"].alias("e")))).otherwise(F.array().cast("array<struct<s:int,e:int>>"))))  # noqa: B023

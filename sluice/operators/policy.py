@@ -81,6 +81,36 @@ class Ruleset:
         return Catalog(tuple(p for p in chosen.patterns if p.name not in self.disable))
 
 
+# Presets, action, least confidence and whether context is required, by profile; None: all presets.
+PROFILES = {
+    "pci_production": (("PCI_DSS",), "reject", 0.7, True),
+    "pci_development": (("PCI_DSS",), "obfuscate", 0.3, False),
+    "hipaa_strict": (("HEALTHCARE",), "reject", 0.5, False),
+    "hipaa_redact": (("HEALTHCARE",), "redact", 0.0, False),
+    "gdpr_compliance": (("PII", "CONTACT_INFO"), "tokenize", 0.0, False),
+    "soc2_secrets": (("CREDENTIALS",), "reject", 0.0, False),
+    "full_scan": (None, "flag", 0.0, False),
+    "development": (None, "obfuscate", 0.3, False),
+    "ci_pipeline": (None, "reject", 0.5, True),
+}
+# End of fixed values.
+
+
+def profile(name: str, base: Catalog | None = None, secret: bytes = b"", own: Mapping[str, tuple] | None = None):
+    """The Guard of a profile; own: further profiles, as PROFILES has them, or others in their place."""
+    from sluice.operators.guard import Guard
+
+    presets, action, least, context = ({**PROFILES, **(own or {})})[name]
+    catalog = (base or Catalog.core()).preset(*(presets or (*PRESETS, "PII_STRICT")))
+    return Guard(catalog, action, least, require_context=context, secret=secret)
+
+
+def session_stats(findings: DataFrame, window: str = "1 hour", ts: str = "ts", user: str = "user_id") -> DataFrame:
+    """What each user has shown in each window: window_start, user, total, uniques (values over all categories), categories."""
+    out = findings.groupBy(F.window(ts, window).alias("w"), user).agg(F.count("*").alias("total"), F.count_distinct(F.concat_ws(":", "category", "matched")).alias("uniques"), F.array_sort(F.collect_set("category")).alias("categories"))
+    return out.select(F.col("w.start").alias("window_start"), user, "total", "uniques", "categories")
+
+
 def session_alerts(findings: DataFrame, policies: Iterable[tuple[str, int | None, int | None, str]], window: str = "1 hour", ts: str = "ts", user: str = "user_id") -> DataFrame:
     """Exposure by user and tumbling window: (window_start, user, category, alert_type, count, limit).
 

@@ -71,3 +71,40 @@ def sarif_log(results: list[str], rules: list[str], tool: str = "sluice", versio
     import json
 
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "version": version, "rules": [{"id": r} for r in rules]}}, "results": [json.loads(r) for r in results]}]})
+
+
+def json_rows(findings: DataFrame, key: str = "doc_id", redact: bool = True) -> DataFrame:
+    """A JSON object per finding, values as reports show them unless ``redact`` is off."""
+    value = shown(F.col("matched")) if redact else F.col("matched")
+    return findings.select(F.to_json(F.struct(F.col(key).cast("string").alias("source"), "category", "sub_category", value.alias("text"), "span_start", "span_end", "has_context", "confidence")).alias("result"))
+
+
+def compliance_report(findings: DataFrame, title: str = "Compliance report") -> dict:
+    """A report's content: severities, frameworks and a line per sub-category, whose number the catalogue bounds."""
+    lines = [r.asDict() for r in by_category(findings).where("sub_category is not null").orderBy("category", "sub_category").collect()]
+    return {
+        "title": title,
+        "total_findings": sum(r["findings"] for r in lines),
+        "severity": {r["severity"]: r["findings"] for r in severities(findings).collect()},
+        "frameworks": {r["framework"]: r["passed"] for r in compliance(findings).orderBy("framework").collect()},
+        "findings": lines,
+    }
+
+
+def rendered(report: dict, kind: str = "text") -> str:
+    """The report as json, text or html."""
+    import html
+    import json
+
+    if kind == "json":
+        return json.dumps(report, indent=2)
+    verdict = lambda ok: "PASS" if ok else "FAIL"
+    heads = ("category", "sub_category", "findings", "average_confidence", "sample")
+    if kind == "text":
+        rows = [f"{report['title']}", f"Findings: {report['total_findings']}", *(f"  {k}: {n}" for k, n in report["severity"].items()), *(f"{k}: {verdict(ok)}" for k, ok in report["frameworks"].items())]
+        return "\n".join([*rows, *("\t".join(str(r[h]) for h in heads) for r in report["findings"])])
+    if kind != "html":
+        raise ValueError(f"no report of kind {kind}")
+    table = lambda top, rows: "<table><tr>" + "".join(f"<th>{html.escape(h)}</th>" for h in top) + "</tr>" + "".join("<tr>" + "".join(f"<td>{html.escape(str(x))}</td>" for x in r) + "</tr>" for r in rows) + "</table>"
+    body = table(("severity", "findings"), report["severity"].items()) + table(("framework", "status"), [(k, verdict(ok)) for k, ok in report["frameworks"].items()]) + table(heads, [[r[h] for h in heads] for r in report["findings"]])
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(report['title'])}</title></head><body><h1>{html.escape(report['title'])}</h1>{body}</body></html>"

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import re
+import time
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 
 from sluice.catalog import CONTEXT_BOOST, Catalog, Pattern
 from sluice.functions.text import EXOTIC_SPACES, LEET, LOOKALIKES
-from sluice.operators.findings import without_overlaps
 from sluice.operators.spread import spread
 
 FINDING = "category string, sub_category string, matched string, span_start int, span_end int, has_context boolean, context_required boolean, confidence double, ord int"
@@ -39,6 +39,8 @@ _WORD = re.compile(r"\b\w+\b")
 _DIGITS = re.compile(r"\d+")
 #: Width up to which an expression is sought around digits only, and what look-ahead sees beyond.
 NEAR, _MARGIN = 200, 64
+#: Reach of an expression that needs a digit and is wider: the whole text.
+WHOLE = -1
 
 
 def normalized(text: str) -> tuple[str, list[int] | None]:
@@ -125,34 +127,34 @@ def needs(regex: str) -> Needs:
 class Matcher:
     """A catalogue compiled for one worker."""
 
-    def __init__(self, catalog: Catalog):
-        self.rows = []
+    def __init__(self, catalog: Catalog, substring: bool = False):
+        """substring: a keyword speaks for a match wherever its letters stand, within words too, and only as it is spelled."""
+        self.rows, self.substring = [], substring
         for i, p in enumerate(catalog.patterns):
-            words = re.compile("|".join(rf"\b{re.escape(k)}\b" for k in p.keywords), re.IGNORECASE) if p.keywords else None
-            long = [(k.lower(), len(k.split())) for k in p.keywords if len(k) >= FUZZY_LENGTH]
+            words = re.compile("|".join(re.escape(k) if substring else rf"\b{re.escape(k)}\b" for k in p.keywords), re.IGNORECASE) if p.keywords else None
+            long = [(k.lower(), len(k.split())) for k in p.keywords if len(k) >= FUZZY_LENGTH and not substring]
             need = needs(p.regex)
-            self.rows.append((i, p, re.compile(p.regex), words, long, sorted(need.literals, key=len, reverse=True), need.digit, need.width if need.digit and need.width <= NEAR else 0))
+            self.rows.append((i, p, re.compile(p.regex), words, long, sorted(need.literals, key=len, reverse=True), 0 if not need.digit else need.width if need.width <= NEAR else WHOLE))
 
     @staticmethod
-    def matches(regex: re.Pattern, text: str, width: int, digits: list[tuple[int, int]]) -> Iterator[re.Match]:
-        """All matches in order; of an expression of bounded width that needs a digit, sought only around the digits."""
-        if not width:
+    def matches(regex: re.Pattern, text: str, reach: int, digits: list[tuple[int, int]]) -> Iterator[re.Match]:
+        """All matches in order; of an expression that needs a digit and is at most ``reach`` wide, sought only around the digits."""
+        if reach <= 0:
             yield from regex.finditer(text)
             return
         last, at = 0, 0
         while at < len(digits):
-            start, end = digits[at][0] - width, digits[at][1] + width
+            start, end = digits[at][0] - reach, digits[at][1] + reach
             at += 1
-            while at < len(digits) and digits[at][0] - width <= end + _MARGIN:
-                end = digits[at][1] + width
+            while at < len(digits) and digits[at][0] - reach <= end + _MARGIN:
+                end = digits[at][1] + reach
                 at += 1
             # The margin shows look-ahead what follows; whatever begins in it needs a later digit.
             for m in regex.finditer(text, max(last, start), min(len(text), end + _MARGIN)):
                 yield m
                 last = m.end()
 
-    @staticmethod
-    def context(text: str, start: int, end: int, p: Pattern, words: re.Pattern | None, long: list[tuple[str, int]]) -> bool:
+    def context(self, text: str, start: int, end: int, p: Pattern, words: re.Pattern | None, long: list[tuple[str, int]]) -> bool:
         """A keyword near the match: as it is, misspelt by up to two edits, or in leet spelling."""
         if words is None:
             return False
@@ -165,18 +167,21 @@ class Matcher:
             for i in range(len(tokens) - n + 1):
                 if within(tokens[i] if n == 1 else " ".join(tokens[i : i + n]), key, FUZZY_DISTANCE):
                     return True
-        if window.translate(_LEET) != window:
+        if not self.substring and window.translate(_LEET) != window:
             return bool(words.search(pre.translate(_LEET)) or words.search(post.translate(_LEET)))
         return False
 
-    def find(self, original: str, require_context: bool = False, max_matches: int | None = None) -> list[tuple]:
+    def find(self, original: str, require_context: bool = False, max_matches: int | None = None, max_seconds: float | None = None) -> list[tuple]:
+        end = None if max_seconds is None else time.monotonic() + max_seconds
         text, places = normalized(original)
         digits = [m.span() for m in _DIGITS.finditer(text)]
         out: list[tuple] = []
-        for i, p, regex, words, long, literals, digit, width in self.rows:
-            if digit and not digits or any(x not in text for x in literals):
+        for i, p, regex, words, long, literals, reach in self.rows:
+            if reach and not digits or any(x not in text for x in literals):
                 continue
-            for m in self.matches(regex, text, width, digits):
+            if end is not None and time.monotonic() > end:
+                raise OutOfTime(out)
+            for m in self.matches(regex, text, reach, digits):
                 if p.category == "Credit Card Numbers" and not luhn_valid(m.group()):
                     continue
                 near = self.context(text, m.start(), m.end(), p, words, long)
@@ -192,10 +197,25 @@ class Matcher:
         return out
 
 
+class OutOfTime(Exception):
+    """The time for a text was over between two patterns; what was found by then is its argument."""
+
+
 class TooMany(Exception):
     """More matches than asked for; the first ones are its argument."""
 
 
+def settled(found: list[tuple]) -> list[tuple]:
+    """Of overlapping findings the more confident stays, then the longer, then the earlier in order; by start."""
+    out: list[tuple] = []
+    for x in sorted(found, key=lambda x: (x[3], x[3] - x[4], x[8])):
+        if not out or x[3] >= out[-1][4]:
+            out.append(x)
+        elif (x[7], x[4] - x[3]) > (out[-1][7], out[-1][4] - out[-1][3]):
+            out[-1] = x
+    return out
+
+
 def luhn_valid(text: str) -> bool:
     digits = [int(c) for c in text if c.isdigit()]
     if not digits:
@@ -205,47 +225,55 @@ def luhn_valid(text: str) -> bool:
 
 
 @functools.lru_cache(8)
-def matcher(catalog: Catalog) -> Matcher:
-    return Matcher(catalog)
+def matcher(catalog: Catalog, substring: bool = False) -> Matcher:
+    return Matcher(catalog, substring)
 
 
-def with_findings(df: DataFrame, catalog: Catalog | None = None, text: str = "text", categories: Iterable[str] | None = None, require_context: bool = False, max_matches: int | None = None, max_chars: int | None = None) -> DataFrame:
-    """df with ``findings`` (in catalogue order, overlaps included) and ``status``: ok, empty, truncated or too_large.
+def with_findings(df: DataFrame, catalog: Catalog | None = None, text: str = "text", categories: Iterable[str] | None = None, require_context: bool = False, max_matches: int | None = None, max_chars: int | None = None, max_seconds: float | None = None, substring: bool = False, apart: bool = False) -> DataFrame:
+    """df with ``findings`` (in catalogue order, overlaps included) and ``status``: ok, empty, truncated, timeout or too_large.
 
     Texts are scanned whole and all their matches kept, unless the caller sets
     a limit: a text of more than ``max_chars`` characters is too_large and has
-    no findings, one with more than ``max_matches`` is truncated to them.
+    no findings, one with more than ``max_matches`` is truncated to them, and
+    one that takes more than ``max_seconds`` has what was found by then.
+    apart: overlaps are settled as without_overlaps does, in one pass, and a
+    column ``gaps`` has the text before each finding, and after the last.
     """
     chosen = (catalog or Catalog.core()).only(categories)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", status string, findings array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", status string, findings array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>" + (", gaps array<string>" if apart else "")
     columns = list(df.columns)
     at = columns.index(text)
     names = [x.split()[0] for x in FINDING.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = matcher(chosen)
+        m = matcher(chosen, substring)
         for b in batches:
-            found, status = [], []
+            found, status, gaps = [], [], []
             for t in b.column(at):
                 t = t.as_py()
                 status.append("empty" if not t else "too_large" if max_chars is not None and len(t) > max_chars else "ok")
                 own = []
                 if status[-1] == "ok":
                     try:
-                        own = m.find(t, require_context, max_matches)
+                        own = m.find(t, require_context, max_matches, max_seconds)
                     except TooMany as x:
                         own, status[-1] = x.args[0], "truncated"
+                    except OutOfTime as x:
+                        own, status[-1] = x.args[0], "timeout"
+                if apart:
+                    own = settled(own)
+                    edges = [0, *[e for x in own for e in x[3:5]], len(t or "")]
+                    gaps.append([t[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)] if t is not None else [])
                 found.append([dict(zip(names, x, strict=True)) for x in own])
             kind = pa.list_(pa.struct([(n, k) for n, k in zip(names, [pa.string()] * 3 + [pa.int32()] * 2 + [pa.bool_()] * 2 + [pa.float64(), pa.int32()], strict=True)]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(status), pa.array(found, kind)], names=[*columns, "status", "findings"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(status), pa.array(found, kind), *([pa.array(gaps, pa.list_(pa.string()))] if apart else [])], names=[*columns, "status", "findings", *["gaps"] * apart])
 
     return spread(df).mapInArrow(run, schema)
 
 
 def scan(df: DataFrame, catalog: Catalog | None = None, text: str = "text", key: str = "doc_id", deduplicate: bool = True, **options) -> DataFrame:
     """A row per finding: key and the columns of FINDING. Null and empty texts have none."""
-    found = with_findings(df.select(key, text), catalog, text, **options)
-    found = found.select(key, (without_overlaps("findings") if deduplicate else F.col("findings")).alias("findings"))
+    found = with_findings(df.select(key, text), catalog, text, apart=deduplicate, **options)
     return found.select(key, F.inline("findings"))
 
 

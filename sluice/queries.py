@@ -9,10 +9,10 @@ from sluice import sql
 from sluice.catalog import CARDS, CONTACT, Catalog
 from sluice.functions import text as fn
 from sluice.operators import matching, report, sinks, sketches
-from sluice.operators.findings import beyond_baseline, confident
-from sluice.operators.guard import Guard, detokenized
-from sluice.operators.policy import Policy, session_alerts
-from sluice.operators.scan import scan, scan_distinct
+from sluice.operators.findings import beyond_baseline, confident, ignore_rules, ignoring
+from sluice.operators.guard import Guard, detokenized, redacted_by
+from sluice.operators.policy import Policy, session_alerts, session_stats
+from sluice.operators.scan import scan, scan_distinct, with_findings
 from sluice.operators.spread import kept
 from sluice.sources.readers import unordered_text_columns
 
@@ -39,7 +39,36 @@ def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
-    return scan(rows).drop("ord")
+    found = with_findings(rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    return found.groupBy(F.col("status")).agg(F.count("*").alias("turns"), F.sum(F.size("findings")).alias("findings"), F.count_if(F.size("findings") > 0).alias("with_findings"))
+
+
+def redacted_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted_by(_docs(spark, sf_dir), "Contact Information", "Email Address").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+def allowed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contact findings that an ignore file's rules leave, by source as the path."""
+    rules = ignore_rules("# known\ntext: *@example.com\nsub_category: IPv4 Address\nsrc1*\n")
+    docs = _table(spark, sf_dir, "documents")
+    found = scan(docs, categories=CONTACTS, deduplicate=False).join(docs.select("doc_id", F.col("source").alias("path")), "doc_id")
+    return ignoring(found, rules).groupBy("path", "sub_category").agg(F.count("*").alias("n"))
+
+
+def user_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select("ts", "user_id", F.col("event_type").alias("category"), F.col("props").alias("matched"))
+    return session_stats(events, "1 day").select("window_start", "user_id", "total", "uniques", F.array_join("categories", ",").alias("categories"))
+
+
+def dense_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring(F.col("text").cast("binary"), 1, 8192).alias("b"))
+    return t.select("conv_id", "turn", fn.entropy_suspicious(F.round(fn.entropy(F.col("b")), 6), 4.1).alias("suspicious"))
+
+
+def checked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose name is registered: those of every seventh key."""
+    own = _table(spark, sf_dir, "customer").select(F.lit("name").alias("category"), F.col("c_name").alias("value"), "c_custkey")
+    return matching.edm_checked(own, matching.edm_register(own.where("c_custkey % 7 = 0"), SALT), SALT).select("c_custkey", "known")
 
 
 def contact_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +217,7 @@ def exposure_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("window_start", "user_id", "category", "alert_type", "count", "limit")
 
 
-QUERIES = {f.__name__: f for f in (scan_findings, scan_conversations, contact_matches, card_matches, distinct_text_matches, audit_trail, compliance_frameworks, compliance_by_category, severity_breakdown, confident_findings, new_findings, batch_report, items_by_category, guard_redact, guard_obfuscate, guard_tokenize_round_trip, policy_actions, sarif_results, csv_report, normalized_text, shown_values, luhn_keys, row_texts, text_entropy, edm_hits, similar_documents, benchmark_fragments, count_min, distinct_users, exposure_alerts)}
+QUERIES = {f.__name__: f for f in (scan_findings, scan_conversations, contact_matches, card_matches, distinct_text_matches, audit_trail, compliance_frameworks, compliance_by_category, severity_breakdown, confident_findings, new_findings, batch_report, items_by_category, guard_redact, guard_obfuscate, guard_tokenize_round_trip, policy_actions, sarif_results, csv_report, normalized_text, shown_values, luhn_keys, row_texts, text_entropy, edm_hits, similar_documents, benchmark_fragments, count_min, distinct_users, exposure_alerts, redacted_emails, allowed_findings, user_exposure, dense_turns, checked_values)}
 
 
 def _q(regex: str) -> str:
@@ -265,7 +294,12 @@ ORACLES |= {
     "confident_findings": f"WITH {sql.found(CONTACTS)} SELECT sub_category, count(*) AS n FROM found WHERE confidence >= 0.85 GROUP BY ALL",
     "items_by_category": f"WITH {sql.found(CONTACTS | CREDIT)}, {sql.apart()} SELECT category, count(DISTINCT doc_id) AS items FROM best GROUP BY ALL",
     "compliance_frameworks": f"WITH {sql.found({c for cs in report.FRAMEWORKS.values() for c in cs})}, r(framework, category) AS (VALUES {', '.join(f'({sql.quoted(f)}, {sql.quoted(c)})' for f, cs in report.FRAMEWORKS.items() for c in cs)}) SELECT framework, bool_and(category NOT IN (SELECT category FROM found)) AS passed FROM r GROUP BY ALL",
-    "scan_conversations": f"WITH talk AS (SELECT concat_ws(':', conv_id, turn) AS id, text FROM conversations), {sql.found(None, 'talk', 'id')}, {sql.apart()} SELECT * FROM best",
+    "scan_conversations": f"WITH talk AS (SELECT concat_ws(':', conv_id, turn) AS id, coalesce(text, '') AS text FROM conversations), {sql.found(None, 'talk', 'id')}, n AS (SELECT doc_id, count(*) AS n FROM found GROUP BY ALL) SELECT CASE WHEN text = '' THEN 'empty' ELSE 'ok' END AS status, count(*) AS turns, CAST(coalesce(sum(n), 0) AS BIGINT) AS findings, count(n) AS with_findings FROM talk LEFT JOIN n ON id = doc_id GROUP BY ALL",
+    "redacted_emails": f"WITH f AS ({_all({'Contact Information': {'Email Address': CONTACT['Contact Information']['Email Address']}})}), g AS (SELECT doc_id, list(m) AS ms FROM f GROUP BY ALL) SELECT doc_id, sha256(CASE WHEN ms IS NULL THEN text ELSE list_reduce(list_concat([text], ms), lambda t, m: replace(t, m, regexp_replace(m, '[^-. /\\\\_–— ]', 'X', 'g'))) END) AS text_sha256 FROM documents LEFT JOIN g USING (doc_id)",
+    "allowed_findings": f"WITH c AS ({_CONTACT}) SELECT source AS path, sub_category, count(*) AS n FROM c JOIN documents USING (doc_id) WHERE m NOT LIKE '%@example.com' AND sub_category <> 'IPv4 Address' AND source NOT LIKE 'src1%' GROUP BY ALL",
+    "user_exposure": "SELECT date_trunc('day', ts) AS window_start, user_id, count(*) AS total, count(DISTINCT event_type || ':' || props) AS uniques, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS categories FROM events GROUP BY ALL",
+    "dense_turns": "WITH x AS (" + ORACLES["text_entropy"] + ") SELECT conv_id, turn, bits >= 4.1 AS suspicious FROM x",
+    "checked_values": "SELECT c_custkey, regexp_replace(trim(lower(c_name)), '[\\s\\-./()]+', '', 'g') IN (SELECT regexp_replace(trim(lower(c_name)), '[\\s\\-./()]+', '', 'g') FROM customer WHERE c_custkey % 7 = 0) AS known FROM customer",
     "similar_documents": f"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[^\\s]+') AS ws FROM documents),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 3 THEN list_transform(range(0, greatest(1, length(t) - 11)), lambda i: substr(t, i + 1, 12)) ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS x FROM w),

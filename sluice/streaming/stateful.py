@@ -18,12 +18,15 @@ OVERLAP = 256
 _OUT = "stream_id string, category string, sub_category string, matched string, span_start bigint, span_end bigint, has_context boolean, confidence double"
 
 
-def scan_chunks(chunks: DataFrame, catalog: Catalog | None = None, overlap: int = OVERLAP, min_confidence: float = 0.0) -> DataFrame:
+def scan_chunks(chunks: DataFrame, catalog: Catalog | None = None, overlap: int = OVERLAP, min_confidence: float = 0.0, quiet_ms: int | None = None) -> DataFrame:
     """Findings with places in the whole stream. chunks: stream_id, seq, chunk, as a stream.
 
     State of a stream_id: its last ``overlap`` characters, where they start, and
     the spans reported within them, so that a value cut by a chunk's border is
-    found once. A null chunk is empty; equal spans are reported once.
+    found once. A null chunk is empty; equal spans are reported once. A value at
+    the end of the last chunk waits for what may follow, until an empty chunk
+    ends it or, if ``quiet_ms`` is given, no chunk has come for so many
+    milliseconds (such a query runs batches without data, too, to see that).
     """
     chosen = catalog or Catalog.core()
 
@@ -31,7 +34,8 @@ def scan_chunks(chunks: DataFrame, catalog: Catalog | None = None, overlap: int
         tail, start, seen = state.get if state.exists else ("", 0, [])
         seen = {tuple(map(int, s.split(":"))) for s in seen}
         rows = []
-        for chunk in pd.concat(pdfs).sort_values("seq")["chunk"]:
+        chunks = [None] if state.hasTimedOut else pd.concat(pdfs).sort_values("seq")["chunk"]
+        for chunk in chunks:
             text = tail + (chunk or "")
             for category, name, value, s, e, near, _, score, _ in matcher(chosen).find(text):
                 span = (start + s, start + e)
@@ -42,9 +46,11 @@ def scan_chunks(chunks: DataFrame, catalog: Catalog | None = None, overlap: int
             start, tail = start + len(text) - keep, text[len(text) - keep :]
             seen = {x for x in seen if x[1] > start}
         state.update((tail, start, [f"{a}:{b}" for a, b in seen]))
+        if quiet_ms is not None and not state.hasTimedOut:
+            state.setTimeoutDuration(quiet_ms)
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in _OUT.split(", ")])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, _OUT, "tail string, start bigint, seen array<string>", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, _OUT, "tail string, start bigint, seen array<string>", "append", GroupStateTimeout.NoTimeout if quiet_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def exposure(findings: DataFrame, policies: list[tuple[str, int, str]], window: str = "1 hour", late: str = "10 minutes", ts: str = "ts", user: str = "user_id") -> DataFrame:
