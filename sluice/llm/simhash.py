@@ -91,7 +91,7 @@ def compare(fps: np.ndarray, radius: int, bits: list[int] | None = None, asked:
     bits = list(range(64)) if bits is None else bits
     padded = np.zeros(words * 64, np.uint64)
     padded[:m] = fps
-    planes = np.stack([np.packbits(((padded >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<u8") for b in bits]) if bits else np.zeros((0, words), np.uint64)
+    planes = _planes(padded, bits)
     digits = max(1, radius.bit_length())
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     asked = np.arange(m) if asked is None else asked
@@ -128,6 +128,44 @@ def compare(fps: np.ndarray, radius: int, bits: list[int] | None = None, asked:
             yield i[ok], j[ok], dist[ok]
 
 
+def compare_words(fps: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j, distance) with j < i and distance <= radius within buckets of at most 64 members, which stand one after another.
+
+    Each bucket is one word of the planes, and every member is held against its own bucket's word only, all buckets at
+    once; members whose word has wholly passed the radius are abandoned.
+    """
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    slot = np.arange(len(fps)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    padded = np.zeros(len(sizes) * 64, np.uint64)
+    padded[word * 64 + slot] = fps
+    planes = _planes(padded, list(range(64)))
+    digits = max(1, radius.bit_length())
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    live = np.arange(len(fps))
+    count = np.zeros((digits, len(fps)), np.uint64)
+    over = ~((np.uint64(1) << slot.astype(np.uint64)) - np.uint64(1))  # only members before one's own are asked for
+    for b in range(64):
+        carry = planes[b][word[live]] ^ np.where((fps[live] >> np.uint64(b)) & np.uint64(1), full, np.uint64(0))
+        for d in range(digits):
+            count[d], carry = count[d] ^ carry, count[d] & carry
+        over |= carry
+        if b % 8 == 7:
+            keep = np.flatnonzero(_past(count, over, radius) != full)
+            if len(keep) < len(live):
+                live, count, over = live[keep], np.ascontiguousarray(count[:, keep]), over[keep]
+    hit = np.unpackbits((~_past(count, over, radius)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    r, c = np.nonzero(hit)
+    dist = sum((((count[d][r] >> c.astype(np.uint64)) & np.uint64(1)) << np.uint64(d)) for d in range(digits)).astype(np.int64)
+    i = live[r]
+    return i, i - slot[i] + c, dist
+
+
+def _planes(padded: np.ndarray, bits: list[int]) -> np.ndarray:
+    """A row for each bit, with a word for each 64 members."""
+    rows = [np.packbits(((padded >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<u8") for b in bits]
+    return np.stack(rows) if rows else np.zeros((0, len(padded) // 64), np.uint64)
+
+
 def _past(count: np.ndarray, over: np.ndarray, radius: int) -> np.ndarray:
     """Bits of members whose count is greater than the radius."""
     more, equal = over.copy(), ~over
@@ -276,9 +314,17 @@ def _nearest(radius: int, most: int):
             fp, rep = pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy()
             cut = np.flatnonzero((band[1:] != band[:-1]) | (part[1:] != part[:-1])) + 1
             out = []
-            for s, e in zip(np.append(0, cut), np.append(cut, len(pdf)), strict=True):
-                if e - s < 2:
-                    continue
+            starts, ends = np.append(0, cut), np.append(cut, len(pdf))
+            sizes = ends - starts
+            few = (sizes > 1) & (sizes <= 64)
+            if few.any():
+                at = np.flatnonzero(np.repeat(few, sizes))
+                i, j, d = compare_words(fp[at], sizes[few], radius)
+                order = np.lexsort((j, d, i))
+                i, j, d = i[order], j[order], d[order]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < most
+                out.append((rep[at][i[best]], rep[at][j[best]], d[best]))
+            for s, e in zip(starts[sizes > 64], ends[sizes > 64], strict=True):
                 # A member with enough neighbours within a smaller radius needs no larger one: its nearest are among them.
                 left = np.arange(e - s)
                 for near in (*[r for r in (2, 5, 9, 14) if r < radius], radius):

@@ -90,6 +90,19 @@ def test_compare(radius):
     assert got == {(i, j, d) for i in range(333) for j in range(333) if i != j and (d := int(fps[i] ^ fps[j]).bit_count()) <= radius}
 
 
+@pytest.mark.parametrize("radius", [0, 2, 9, 20])
+def test_compare_words(radius):
+    """Small buckets all at once, against every pair of each."""
+    rng = np.random.default_rng(radius)
+    sizes = np.array([2, 1, 64, 3, 63, 2, 17])
+    fps = np.concatenate([rng.integers(0, 2**63, dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)) ^ rng.integers(0, 2**14, n, dtype=np.uint64) for n in sizes])
+    fps[3:5] = fps[3]
+    starts = np.cumsum(sizes) - sizes
+    want = {(s + i, s + j, d) for s, n in zip(starts, sizes, strict=True) for i in range(n) for j in range(i) if (d := int(fps[s + i] ^ fps[s + j]).bit_count()) <= radius}
+    got = list(zip(*(x.tolist() for x in simhash.compare_words(fps, sizes, radius)), strict=True))
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_hot_buckets_lose_no_link(spark):
     r = random.Random(5)
     base = [r.getrandbits(64) for _ in range(4)]
