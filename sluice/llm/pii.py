@@ -30,14 +30,18 @@ ADDED = {
 }
 #: Words that speak for a kind when they stand within NEAR code points before a span.
 CONTEXT = {
+    "email": "e-?mail|mail|contact|write|correo|courriel",
+    "ip": "ip|address|host|server|addr|adresse",
+    "card": "card|karte|carte|tarjeta|visa|credit|payment",
+    "phone": "phone|tel|call|mobile|cell|fax|telefon|téléphone|teléfono|handy",
     "iban": "iban|account|konto|compte|cuenta|bank",
     "ssn": "ssn|social|security|tax",
     "short_card": "card|karte|carte|tarjeta|amex|visa|credit|payment",
     "local_phone": "phone|tel|call|mobile|cell|fax|telefon|téléphone|teléfono|handy",
 }
 NEAR = 40
-#: Score of a confirmed span without and with such a word; reported from LEAST on.
-SCORES = {"iban": (0.7, 0.95), "ssn": (0.5, 0.9), "short_card": (0.4, 0.8), "local_phone": (0.3, 0.7)}
+#: Score of a confirmed span without and with such a word; added kinds are reported from LEAST on, base kinds always.
+SCORES = {"email": (0.9, 1.0), "ip": (0.6, 0.9), "card": (0.8, 1.0), "phone": (0.6, 0.9), "iban": (0.7, 0.95), "ssn": (0.5, 0.9), "short_card": (0.4, 0.8), "local_phone": (0.3, 0.7)}
 LEAST = 0.5
 
 
@@ -93,7 +97,8 @@ def _placed(kind: str, pieces: Column, found: Column) -> Column:
 def with_spans(docs: DataFrame, text: str = "text", also: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``also``, base and spans: arrays of (kind, s, e, score).
 
-    base holds the confirmed matches of the base kinds, by kind and place.
+    base holds the confirmed matches of the base kinds, by kind and place, all
+    whatever their score, which nearby words raise.
     spans adds the other kinds' that reach LEAST and touch no base span. Null
     text is empty; an email, ip, card or phone that fails its check is dropped
     without a retry.
@@ -118,10 +123,10 @@ def with_spans(docs: DataFrame, text: str = "text", also: tuple[str, ...] = ("do
             low, high = SCORES[k]
             return F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.when(before.rlike(rf"(?<!\p{{L}})(?:{CONTEXT[k]})"), high).otherwise(low).alias("score"))
 
-        return F.filter(F.transform(F.col(f"_s_{k}"), score), lambda x: x["score"] >= LEAST)
+        return F.transform(F.col(f"_s_{k}"), score)
 
-    plain = lambda k: F.transform(F.col(f"_s_{k}"), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit(1.0).alias("score")))
-    df = df.select(*also, F.concat(*[plain(k) for k in BASE]).alias("base"), F.concat(*[scored(k) for k in ADDED]).alias("_more"))
+    more = F.filter(F.concat(*[scored(k) for k in ADDED]), lambda x: x["score"] >= LEAST)
+    df = df.select(*also, F.concat(*[scored(k) for k in BASE]).alias("base"), more.alias("_more"))
     # Of added kinds that overlap each other the one listed first stays.
     rank = {k: i for i, k in enumerate(ADDED)}
     order = lambda x: F.coalesce(*[F.when(x["kind"] == k, i) for k, i in rank.items()])

@@ -178,6 +178,13 @@ def test_op5(spark, dir_):
         assert r["spans"].startswith(base)
 
 
+def test_pii_context_scores_base_spans(spark):
+    """Nearby words raise a base span's score; without them it stays all the same."""
+    df = spark.createDataFrame([(1, "please call +49 30 1234567"), (2, "see +49 30 1234567"), (3, None)], "doc_id int, text string")
+    got = {r["doc_id"]: [(x["kind"], x["s"], x["e"], x["score"]) for x in r["base"]] for r in pii.with_spans(df).collect()}
+    assert got == {1: [("phone", 12, 26, 0.9)], 2: [("phone", 4, 18, 0.6)], 3: []}
+
+
 def test_pii_long_runs(spark):
     t = ["a" * 200_000, "1" * 100_000, "a@" + "b." * 20_000 + "c", "+1" * 2000, "1.2." * 2000]
     got = pii.with_spans(spark.createDataFrame(list(enumerate(t)), "doc_id bigint, text string")).select("doc_id", pii.listed("base").alias("s")).collect()
