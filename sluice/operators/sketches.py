@@ -34,6 +34,18 @@ def cms_estimate(keys: DataFrame, cells: DataFrame, key: str = "key", width: int
     return asked.join(cells, ["row", "idx"], "left").groupBy(key).agg(F.min(F.coalesce("count", F.lit(0))).alias("estimate"))
 
 
+def cms_settled(estimates: DataFrame, keys: DataFrame, key: str = "key", width: int = 10_000, depth: int = 7) -> DataFrame:
+    """estimates of all of ``keys``, with exact counts for the keys that a sketch may count too high.
+
+    These are the keys with no cell of their own, and the null key, which cells leave out.
+    """
+    own = keys.where(F.col(key).isNotNull()).select(key).distinct().select(key, F.explode(_cells(key, width, depth)).alias("c")).select(key, "c.row", "c.idx")
+    alone = own.groupBy("row", "idx").agg(F.count("*").alias("n")).where("n = 1").select("row", "idx")
+    sure = own.join(alone, ["row", "idx"], "left_semi").select(key).distinct()
+    exact = keys.groupBy(key).agg(F.count("*").alias("_exact")).join(sure, key, "left_anti").withColumnRenamed(key, "_key")
+    return estimates.join(exact, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, F.coalesce("_exact", "estimate").alias("estimate"))
+
+
 def hll_registers(values: DataFrame, value: str, by: tuple[str, ...] = (), p: int = 14) -> DataFrame:
     """by, idx, rho: HyperLogLog registers over SHA-256."""
     h = F.substring(F.sha2(F.col(value).cast("string"), 256), 1, 16)
