@@ -88,6 +88,46 @@ def test_fragments_equal_brute_force(spark):
     assert got == want and want
 
 
+def test_signatures_do_not_hold_whole_batches_of_texts(spark):
+    """400 MB of texts, which four workers' batches of 10,000 rows would hold at once."""
+    import threading
+
+    import psutil
+
+    def held():
+        total = 0
+        for p in psutil.Process().children(recursive=True):
+            try:
+                total += p.memory_info().rss if "pyspark.daemon" in p.cmdline() else 0
+            except psutil.Error:
+                pass
+        return total / 1e6
+
+    rows = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("x"), 40_000), F.lit(" a "), "id").alias("text"))
+    matching.with_signature(rows.where("doc_id < 8")).count()
+    spark.range(8).repartition(4).mapInArrow(lambda batches: batches, "id bigint").count()  # workers are there
+    began, most, done = held(), [0.0], threading.Event()
+
+    def watch():
+        while not done.wait(0.02):
+            most[0] = max(most[0], held())
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        assert matching.with_signature(rows).where("signature[0] is not null").agg(F.countDistinct("signature")).first()[0] == 10_000
+    finally:
+        done.set()
+        watcher.join()
+    assert most[0] - began < 250
+
+
+def test_signatures_of_plain_rows_and_of_none(spark):
+    texts = ["one two three four", None, "", "\U0001f600 é " * 9, "x\x00y"]
+    got = {r["doc_id"]: r["signature"] for r in matching.with_signature(frame(spark, *texts)).collect()}
+    assert got == {i: matching.minhash(t or "").tolist() for i, t in enumerate(texts)}
+
+
 def test_minhash_by_plain_arithmetic():
     import hashlib
     import struct
